@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from vellumine.llm import mixing
+from vellumine.llm import mixing, secrets, urls
 
 QUERIES = {
     "op7_source_mixing": mixing.op7,
+    "op8_secret_scan": secrets.op8,
+    "op9_url_filter": urls.op9,
 }
 
 ORACLE = {
     "op7_source_mixing": mixing.sql(),
+    "op9_url_filter": urls.sql(),
 }
