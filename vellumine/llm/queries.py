@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from vellumine.llm import mixing, secrets, urls
+from vellumine.llm import chat, langid, mixing, secrets, urls
 
 QUERIES = {
+    "op1_language_id": langid.op1,
+    "op6_chat_format": chat.op6,
     "op7_source_mixing": mixing.op7,
     "op8_secret_scan": secrets.op8,
     "op9_url_filter": urls.op9,
