@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vellumine.llm import chat, langid, mixing, secrets, toxicity, urls
+from vellumine.llm import chat, langid, media, mixing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_toxicity": toxicity.op2,
+    "op5_media_columns": media.op5,
     "op6_chat_format": chat.op6,
     "op7_source_mixing": mixing.op7,
     "op8_secret_scan": secrets.op8,
