@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from vellumine.llm import chat, langid, media, mixing, secrets, toxicity, urls
+from vellumine.llm import chat, decontaminate, langid, licenses, media, mixing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_toxicity": toxicity.op2,
+    "op4_decontamination": decontaminate.op4,
     "op5_media_columns": media.op5,
     "op6_chat_format": chat.op6,
     "op7_source_mixing": mixing.op7,
     "op8_secret_scan": secrets.op8,
     "op9_url_filter": urls.op9,
+    "op10_license_scan": licenses.op10,
 }
 
 ORACLE = {
