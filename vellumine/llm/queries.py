@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vellumine.llm import chat, decontaminate, langid, licenses, media, mixing, secrets, toxicity, urls
+from vellumine.llm import chat, decontaminate, langid, licenses, media, mixing, ngram_join, secrets, toxicity, urls
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_toxicity": toxicity.op2,
+    "op3_ngram_join": ngram_join.op3,
     "op4_decontamination": decontaminate.op4,
     "op5_media_columns": media.op5,
     "op6_chat_format": chat.op6,
