@@ -1,14 +1,67 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Every stage works on all that its predecessor kept, and its decisions take effect:
+
+1. toxicity: documents that the learned score rejects go;
+2. n-gram Jaccard join: of each component of links (five-word shingles, similarity 0.8 or more)
+   the document with the least id stays;
+3. benchmark decontamination: documents in which an item is found go;
+4. secret scans: each secret is replaced by a mark, and n_chars follows;
+5. mixing: sources are mixed to target weights; a row for each copy emitted.
+
+All but the last return the columns of documents. Nulls, empty and very long texts, repeated rows,
+empty tables and further columns are handled as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumine.llm import mixing
+from vellumine.llm import decontaminate, mixing, ngram_join, secrets, toxicity
 from vellumine.session import shared_dir
 
+#: SQL can't express the learned, sketched and verified stages; tests hold them against brute force.
 ORACLE_SQL = None
 
+#: Texts of this score and more are rejected.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't rejected. Labels of every fold but the held-out one teach."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.fold() != 0)
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, model, prefix="__toxic_")
+    return scored.where(F.col("__toxic_score") < TOXIC).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: its least doc_id, and of repeated rows of that one too."""
+    joined = ngram_join.join(docs, k=5, percent=80)
+    # one row a component stays; those without n-grams, or without an id, stay all
+    losers = joined.where(F.col("doc_id").isNotNull() & F.col("component").isNotNull() & (F.col("doc_id") != F.col("component"))).select("doc_id").distinct()
+    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    again = joined.where(F.col("doc_id") == F.col("component")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="__leaks")
+    return found.where(F.size("__leaks") == 0).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else clean
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy that systematic sampling emits."""
@@ -16,13 +69,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emitted(mixing.mix(docs, carry=carry)).drop("copies", "taken")
 
 
-STAGES = [("mixing", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each one's rows are written and read again."""
-    import uuid
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):

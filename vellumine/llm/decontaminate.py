@@ -237,10 +237,10 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", m
     return [b for b in out if b]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``leaks``: an array of (item_id, edits, ends_at); empty for clean documents."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, into: str = "leaks") -> DataFrame:
+    """``docs`` with a column (``leaks``): an array of (item_id, edits, ends_at); empty for clean documents."""
     kept = docs if keep is None else docs.select(*dict.fromkeys([*keep, text]))
-    columns = [c for c in (kept.columns if keep is None else keep) if c != "leaks"]
+    columns = [c for c in (kept.columns if keep is None else keep) if c != into]
     out, names = kept, []
     for b, items in enumerate(blocks(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -252,7 +252,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
         out = append(out, text, [T.StructField(f"__leaks_{b}", LEAKS)], make)
         names.append(f"__leaks_{b}")
     leaks = F.concat(*names) if names else F.array().cast(LEAKS)
-    return out.select(*columns, leaks.alias("leaks"))
+    return out.select(*columns, leaks.alias(into))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

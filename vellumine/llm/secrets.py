@@ -148,7 +148,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", vocabula
 
         return lambda texts: [[clean(x) for x in texts]]
 
-    return append(docs.withColumn("__vellumine_raw", docs[text]), "__vellumine_raw", [T.StructField(text, T.StringType())], make).select(*docs.columns)
+    return append(docs.withColumn("__vellumine_raw", docs[text]), "__vellumine_raw", [T.StructField(text, T.StringType())], make, [c for c in docs.columns if c != text]).select(*docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
