@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from vellumine.plans import lines
+
+QUERIES = {**lines.QUERIES}
+ORACLE = {**lines.ORACLE}
