@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumine.llm.columns import append, pieces
+from vellumine.session import cut
 
 #: Bounds of the labelled sample by label (toxic, other), and terms that a lexicon holds at most.
 SAMPLE = (4000, 8000)
@@ -257,14 +258,19 @@ def chosen(counts: dict[tuple[str, bool], tuple[int, int]], na: int, nb: int) ->
     return dict(sorted(terms.items(), key=lambda t: (-t[1][0], t[0]))[:MOST_TERMS])
 
 
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
-    """Learn from rows with a label 0 or 1, from a bounded sample of each (chosen by a hash)."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
+    """Learn from documents with a label 0 or 1, a bounded sample of each chosen by a hash of the id.
+
+    The sample is drawn from the labels, so about ``sum(sample)`` short rows are broadcast to the
+    documents and only their texts are kept.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model({}, frozenset(), np.zeros(5), False)
     upto = F.when(F.col("y") == 1, F.lit(min(1.0, sample[0] / n[1]))).otherwise(F.lit(min(1.0, sample[1] / n[0]))) * float(1 << 30)
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < upto).select("y", "text")
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < upto)
+    drawn = cut(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "id").select("y", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -330,8 +336,8 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("hits", T.DoubleType())]
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with score, predicted (1 from 0.5 on) and hits (their weights, summed)."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``docs`` with score, predicted (1 from 0.5 on) and hits (their weights, summed), named after ``prefix``."""
     terms, strict, weights, known = model.terms, model.strict, model.weights, model.toxic_known
 
     def make() -> Callable[[list], list[list]]:
@@ -344,19 +350,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
         return run
 
-    return append(docs, text, FIELDS, make, keep)
+    return append(docs, text, [T.StructField(prefix + f.name, f.dataType) for f in FIELDS], make, keep)
 
 
-def labelled(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the labels that may teach: those whose fold is not 0; one label a document."""
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(1))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("doc_id").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(fold != 0).join(labels, "doc_id")
+def fold(doc_id: str = "doc_id"):
+    """The fold of a document: labels of fold 0 are held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(1))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """The toxicity of every whole text, learned from four of five labels by a hash."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = fit(labelled(spark, docs, sf_dir))
-    held = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold() != 0))
+    held = docs.withColumn("held_out", fold() == 0)
     return score(held, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted", "hits")
