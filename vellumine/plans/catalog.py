@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellumine.plans import lines
+from vellumine.plans import lines, pdf
 
-QUERIES = {**lines.QUERIES}
-ORACLE = {**lines.ORACLE}
+QUERIES = {**lines.QUERIES, **pdf.QUERIES}
+ORACLE = {**lines.ORACLE, **pdf.ORACLE}
