@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellumine.plans import lines, pdf
+from vellumine.plans import lines, pdf, scalars
 
-QUERIES = {**lines.QUERIES, **pdf.QUERIES}
-ORACLE = {**lines.ORACLE, **pdf.ORACLE}
+QUERIES = {**lines.QUERIES, **pdf.QUERIES, **scalars.QUERIES}
+ORACLE = {**lines.ORACLE, **pdf.ORACLE, **scalars.ORACLE}
