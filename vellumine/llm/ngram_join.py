@@ -40,9 +40,11 @@ from vellumine.llm.columns import pieces
 from vellumine.llm.components import components
 from vellumine.session import cut
 
-#: Share of the hash range whose fragments are counted first, and bytes of text that a task combines.
-PROBED = 0.35
+#: Bytes of text, or of n-grams, that a task combines; classes in a chunk (numbered in 16 bits; SEVERAL isn't one).
 COMBINED = 16 << 20
+SEVERAL = 65_535
+#: Rows up to which what is kept is broadcast to the texts (8 bytes a row); beyond, both are shuffled.
+FEW = 1_000_000
 #: N-grams in a block of a large cluster.
 BLOCK = 6_000_000
 
@@ -114,6 +116,11 @@ def most_missing(n, percent: int):
     return n - -(-percent * n // 100)
 
 
+def probed(percent: int) -> float:
+    """Share of the hash range whose fragments are counted first: half as much again as a link may miss."""
+    return min(1.0, 1.5 * (100 - percent) / 100 + 0.02)
+
+
 def linked(shared, n, m, percent: int):
     return 100 * shared >= percent * (n + m - shared)
 
@@ -121,15 +128,15 @@ def linked(shared, n, m, percent: int):
 ROWS = "chunk long, fragment int, id long, row long, n long, key binary, grams binary, owners binary"
 
 
-def fragment_rows(docs: DataFrame, k: int, fragments: int) -> DataFrame:
+def fragment_rows(docs: DataFrame, k: int, fragments: int, share: float) -> DataFrame:
     """For each document its n-grams' number and set key (fragment -1); for each chunk of a task its classes'
-    sizes and keys (-2); and its fragments: distinct n-grams, with the class that has them in the chunk, or -1 for several."""
+    sizes and keys (-2); and its fragments: distinct n-grams, with the class that has them in the chunk, or SEVERAL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
         classes: dict[bytes, tuple[int, np.ndarray, int]] = {}
         state = {"bytes": 0}
-        limit = np.uint64(int(PROBED * (1 << 24)))
+        limit = np.uint64(int(share * (1 << 24)))
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
@@ -154,7 +161,7 @@ def fragment_rows(docs: DataFrame, k: int, fragments: int) -> DataFrame:
             new = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, bool)
             at = np.flatnonzero(new)
             count = np.diff(np.append(at, len(grams)))
-            grams, owners = grams[at], np.where(count == 1, owners[at], -1).astype(np.int32)
+            grams, owners = grams[at], np.where(count == 1, owners[at], SEVERAL).astype(np.uint16)
             fragment = ((grams >> np.uint64(40)) * np.uint64(fragments) // limit).astype(np.int64)
             for f in np.unique(fragment):
                 lo, hi = np.searchsorted(fragment, [f, f + 1])
@@ -167,6 +174,8 @@ def fragment_rows(docs: DataFrame, k: int, fragments: int) -> DataFrame:
                 texts = piece.column("text").to_pylist()
                 for own, row, grams, text in zip(piece.column("id").to_pylist(), piece.column("row").to_pylist(), gram_sets(texts, k), texts, strict=True):
                     key = key_of(grams)
+                    if len(classes) >= SEVERAL:
+                        close()
                     rows.append((0, -1, own, row, len(grams), key, None, None))
                     if key is not None and key not in classes:
                         classes[key] = (row, grams, len(grams))
@@ -189,7 +198,7 @@ def lone_grams(rows: DataFrame) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
         grams = [np.frombuffer(g, np.uint32) for g in table.column("grams").to_pylist()]
-        owners = [np.frombuffer(g, np.int32) for g in table.column("owners").to_pylist()]
+        owners = [np.frombuffer(g, np.uint16) for g in table.column("owners").to_pylist()]
         sizes = np.array([len(g) for g in grams])
         whole = np.concatenate(grams)
         order = np.argsort(whole, kind="stable")
@@ -204,7 +213,7 @@ def lone_grams(rows: DataFrame) -> DataFrame:
         out = []
         for c, own, e, n in zip(chunks, owners, ends, sizes, strict=True):
             mine = own[flags[e - n:e]]
-            out.append((c, mine[mine >= 0].tobytes()))
+            out.append((c, mine[mine < SEVERAL].tobytes()))
         return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "owners": pa.array([o[1] for o in out], pa.binary())})
 
     return rows.where("fragment >= 0").select("fragment", "chunk", "grams", "owners").groupBy("fragment").applyInArrow(count, "chunk long, owners binary")
@@ -223,7 +232,7 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
         lone = np.zeros(len(sizes), np.int64)
         for key, owners in zip(table.column("key").to_pylist(), table.column("owners").to_pylist(), strict=True):
             if key is None:
-                lone += np.bincount(np.frombuffer(owners, np.int32), minlength=len(sizes))
+                lone += np.bincount(np.frombuffer(owners, np.uint16), minlength=len(sizes))
         kept = np.flatnonzero(lone <= most_missing(sizes, percent))
         return pa.table({"key": pa.array([keys[16 * i:16 * i + 16] for i in kept], pa.binary()), "row": pa.array(ids[kept], pa.int64())})
 
@@ -241,45 +250,82 @@ def sets_of(docs: DataFrame, kept: DataFrame, k: int) -> DataFrame:
                 sets = [s for s in gram_sets(piece.column("text").to_pylist(), k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "n", "grams"])
 
-    texts = docs.select(F.coalesce(F.col("id"), F.xxhash64("text")).alias("row"), "text").join(kept.select("row"), "row", "left_semi")
-    return texts.select("text").mapInArrow(run, "key binary, n long, grams binary").dropDuplicates(["key"])
+    wanted = kept.select("row")
+    wanted = F.broadcast(wanted) if kept.count() <= FEW else wanted
+    texts = docs.select(F.coalesce(F.col("id"), F.xxhash64("text")).alias("row"), "text").join(wanted, "row", "left_semi")
+    # rows that repeat an id give a set twice: it is then counted twice, which prunes less, and linked with itself
+    return texts.select("text").mapInArrow(run, "key binary, n long, grams binary")
 
 
 def prefix_postings(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
-    """(gram, key): for each set that can still link, its first n-grams in the global order (sets that hold one, hash)."""
+    """(gram, key): for each set that can still link, its first n-grams in the global order (sets that hold one, hash).
+
+    Tasks count what they hold, fragments add the counts up, and chunks of sets get the sums back.
+    """
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["chunk", "fragment", "first", "key", "grams", "counts"]
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+
+        def chunk() -> pa.RecordBatch:
+            keys = b"".join(k for k, _ in held)
+            whole = np.frombuffer(b"".join(g for _, g in held), np.uint64)
+            number = xxhash.xxh3_64_intdigest(keys) - (1 << 63)
+            rows = [(number, -2, 0, keys, whole.tobytes(), np.array([len(g) // 8 for _, g in held], np.int32).tobytes())]
+            grams, counts = np.unique(whole, return_counts=True)
+            fragment = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+            for f in np.unique(fragment):
+                lo, hi = np.searchsorted(fragment, [f, f + 1])
+                rows.append((number, int(f), int(lo), None, grams[lo:hi].tobytes(), counts[lo:hi].astype(np.int32).tobytes()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        size = 0
         for b in batches:
-            out = []
-            for key, n, grams in zip(*(b.column(c).to_pylist() for c in ("key", "n", "grams")), strict=True):
-                own = np.frombuffer(grams, np.uint64)
-                at = np.searchsorted(own, [(i << 64) // fragments for i in range(fragments)]).tolist() + [len(own)]
-                out += [(f, key, n, own[at[f]:at[f + 1]].tobytes()) for f in range(fragments) if at[f + 1] > at[f]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["fragment", "key", "n", "grams"])
+            for key, grams in zip(b.column("key").to_pylist(), b.column("grams").to_pylist(), strict=True):
+                held.append((key, grams))
+                size += len(grams)
+                if size >= COMBINED:
+                    yield chunk()
+                    size = 0
+        if held:
+            yield chunk()
 
     def count(table: pa.Table) -> pa.Table:
         grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-        _, inverse, held = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-        held = held[inverse].astype(np.int32)
-        at, kept, counts = 0, [], []
-        for g in grams:
-            own = held[at:at + len(g)]
-            at += len(g)
-            kept.append(g[own > 1].tobytes())
-            counts.append(own[own > 1].tobytes())
-        return pa.table({"key": table.column("key"), "n": table.column("n"), "grams": pa.array(kept, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        counts = np.concatenate([np.frombuffer(c, np.int32) for c in table.column("counts").to_pylist()])
+        _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+        sums = np.minimum(np.bincount(inverse, weights=counts), (1 << 31) - 1).astype(np.int32)[inverse]
+        ends = np.cumsum([len(g) for g in grams])
+        return pa.table({"chunk": table.column("chunk"), "first": table.column("first"), "counts": pa.array([sums[e - len(g):e].tobytes() for g, e in zip(grams, ends, strict=True)], pa.binary())})
 
     def prefix(table: pa.Table) -> pa.Table:
-        n = table.column("n")[0].as_py()
-        grams = np.concatenate([np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()])
-        counts = np.concatenate([np.frombuffer(g, np.int32) for g in table.column("counts").to_pylist()])
-        left = most_missing(n, percent) + 1 - (n - len(grams))  # n-grams that no other set has come first
-        first = grams[np.lexsort((grams, counts))][:left] if left > 0 else grams[:0]
-        return pa.table({"gram": pa.array(first.view(np.int64), pa.int64()), "key": pa.array([table.column("key")[0].as_py()] * len(first), pa.binary())})
+        head = next(i for i, k in enumerate(table.column("key").to_pylist()) if k is not None)
+        keys = table.column("key")[head].as_py()
+        sizes = np.frombuffer(table.column("counts")[head].as_py(), np.int32).astype(np.int64)
+        whole = np.frombuffer(table.column("grams")[head].as_py(), np.uint64)
+        _, inverse = np.unique(whole, return_inverse=True)
+        sums = np.zeros(int(inverse.max()) + 1, np.int32)
+        for key, first, counts in zip(*(table.column(c).to_pylist() for c in ("key", "first", "counts")), strict=True):
+            if key is None:
+                sums[first:first + len(counts) // 4] = np.frombuffer(counts, np.int32)
+        held = sums[inverse]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        use = held > 1
+        many = np.bincount(owner[use], minlength=len(sizes))
+        left = most_missing(sizes, percent) + 1 - (sizes - many)  # n-grams that no other set has come first
+        order = np.lexsort((whole[use], held[use], owner[use]))
+        who = owner[use][order]
+        rank = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+        first = rank < left[who]
+        return pa.table({"gram": pa.array(whole[use][order][first].view(np.int64), pa.int64()), "key": pa.array([keys[16 * i:16 * i + 16] for i in who[first]], pa.binary())})
 
-    parts = sets.mapInArrow(cut_up, "fragment int, key binary, n long, grams binary")
-    counted = parts.groupBy("fragment").applyInArrow(count, "key binary, n long, grams binary, counts binary")
-    return counted.groupBy("key", "n").applyInArrow(prefix, "gram long, key binary")
+    parts = cut(sets.select("key", "grams").mapInArrow(cut_up, "chunk long, fragment int, first long, key binary, grams binary, counts binary"))
+    counted = parts.where("fragment >= 0").select("fragment", "chunk", "first", "grams", "counts").groupBy("fragment").applyInArrow(count, "chunk long, first long, counts binary")
+    none = F.lit(None).cast("binary")
+    heads = parts.where("fragment = -2").select("chunk", "first", "key", "grams", "counts")
+    return heads.unionByName(counted.select("chunk", "first", none.alias("key"), none.alias("grams"), "counts")).groupBy("chunk").applyInArrow(prefix, "gram long, key binary")
 
 
 def search(keys: list[bytes], sets: list[np.ndarray], percent: int, parts: int = 4) -> list[tuple[bytes, bytes]]:
@@ -357,10 +403,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * narrow.rdd.getNumPartitions())
-    rows = cut(fragment_rows(narrow, k, fragments))
+    rows = cut(fragment_rows(narrow, k, fragments, probed(percent)))
     kept = cut(survivors(rows, percent))
     sets = cut(sets_of(narrow, kept, k))
-    postings = cut(prefix_postings(sets, percent, min(fragments, 64)))
+    postings = cut(prefix_postings(sets, percent, fragments))
     least = postings.groupBy("gram").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     clusters = components(postings.join(least, "gram").select(F.col("key").alias("a"), "b"))
     found = components(links_of(sets, clusters, percent))
