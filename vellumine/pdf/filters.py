@@ -36,7 +36,7 @@ def flate(data: bytes) -> bytes:
             out = b"".join(parts)
         if len(out) > MOST:
             raise FilterFault("a stream decodes to too much")
-        if out or not data:
+        if out or d.eof or not data:
             return out
     raise FilterFault("not flate data")
 

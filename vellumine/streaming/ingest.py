@@ -29,5 +29,5 @@ def once(files: DataFrame, within: str = "1 hour") -> DataFrame:
 
 def windows(events: DataFrame, size: str = "1 hour", late: str = "2 hours", ts: str = "ts", by: str = "event_type", value: str = "value") -> DataFrame:
     """Counts and sums of events by tumbling windows; the same plan for a table or a stream."""
-    timed = events.withWatermark(ts, late) if events.isStreaming else events
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     return timed.groupBy(F.window(ts, size).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
