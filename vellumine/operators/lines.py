@@ -96,8 +96,12 @@ def search(rows: DataFrame, needle: str, case_sensitive: bool = False, around: i
     wanted = needle if case_sensitive else needle.lower()
     n = len(wanted)
     hay = rows.withColumn("hay", F.col("line") if case_sensitive else X.normalise(F.col("line"))).where(F.contains("hay", F.lit(wanted)))
-    # whole-line positions are asked for only where the line holds the needle
-    places = F.filter(F.sequence(F.lit(1), F.length("hay") - n + 1), lambda i: F.col("hay").substr(i, F.lit(n)) == wanted)
+    # occurrences are counted, overlapping ones too, then each is located from the one before:
+    # work grows with the hits of a line, not with its positions
+    quoted = r"(?=\Q" + wanted.replace("\\E", r"\E\\E\Q") + r"\E)"
+    after = lambda found: F.call_function("locate", F.lit(wanted), F.col("hay"), F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0)) + 1)
+    many = F.regexp_count("hay", F.lit(quoted))
+    places = F.aggregate(F.sequence(F.lit(1), many), F.array().cast("array<int>"), lambda found, _: F.array_append(found, after(found)))
     hits = hay.select("doc_id", "line_no", "hay", F.explode(places).alias("p"))
     start = F.greatest(F.lit(1), F.col("p") - around)
     return hits.select("doc_id", "line_no", (F.col("p") - 1).cast("long").alias("at"), F.col("hay").substr(F.col("p"), F.lit(n)).alias("found"), F.col("hay").substr(start, F.col("p") + n + around - start).alias("context"))

@@ -175,10 +175,16 @@ def made(fn: Callable[[Any], Any], argument: Column, kind: str) -> Column:
     return F.pandas_udf(apply, kind)(argument)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where an input has fewer splits than they are; a large input has enough and isn't shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n) if df.rdd.getNumPartitions() < 2 * n else df
+
+
 def synthesise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", compact: bool = False, per_page: int = build.PER_PAGE) -> DataFrame:
     """(doc_id, content): a PDF of each text, a line for each of its lines that isn't blank."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda s: X.trim(s)), lambda s: s != "")
-    return docs.select(F.col(doc_id).alias("doc_id"), made(lambda x: build.from_lines(list(x), per_page=per_page, compact=compact), lines, "binary").alias("content"))
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), lines.alias("lines"))).select("doc_id", made(lambda x: build.from_lines(list(x), per_page=per_page, compact=compact), F.col("lines"), "binary").alias("content"))
 
 
 def split(files: DataFrame, first: int = 1, last: int = 0) -> DataFrame:
