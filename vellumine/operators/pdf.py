@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -20,9 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellumine.functions import text as X
-from vellumine.pdf import build, layout
+from vellumine.pdf import build, der, layout, raster, vector, xfa
 from vellumine.pdf.content import OPERATORS, TextReader, operations
 from vellumine.pdf.document import Document, DocumentFault, Page
+from vellumine.pdf.images import png
 from vellumine.pdf.syntax import plain, written
 
 BOX = "struct<llx:double,lly:double,urx:double,ury:double>"
@@ -50,10 +52,27 @@ SCHEMAS = {
     "xref": "obj_num int, kind string, a long, b long",
     "objects": "obj_num int, gen int, kind string, value string",
     "xfa": "data string",
+    "xfa_fields": "name string, path string, ui string, value string, caption string, items array<string>, access string",
+    "certificates": "field string, subject string, issuer string, serial string, algorithm string, not_before string, not_after string, sha256 string, n_bytes int",
+    "svg": "page_no int, svg string",
+    "postscript": "page_no int, postscript string",
+    "rendered": "page_no int, width int, height int, png binary",
+    "pixel_rows": "page_no int, y int, dark long, first_x int, last_x int",
     "errors": "error string",
 }
 
 
+def cid_tables(folder: str) -> dict[str, list[int]]:
+    """Unicode by CID for each ordering, of a folder of tables: a hexadecimal code point a line, the line's number its CID.
+
+    The tables have licences of their own, so their folder is an option and they aren't kept here.
+    """
+    out = {}
+    for p in sorted(Path(folder).glob("Adobe-*")):
+        out[p.name.removeprefix("Adobe-")] = [int(x, 16) if x.strip() else 0 for x in p.read_text().split("\n")]
+    return out
+
+
 def _box(b: tuple) -> dict:
     return dict(zip(("llx", "lly", "urx", "ury"), b, strict=True))
 
@@ -95,6 +114,27 @@ def rows_of(d: Document, name: str, pages: list[Page], options: dict) -> Iterato
         yield from ({"obj_num": k, "kind": v[0], "a": v[1], "b": v[2]} for k, v in sorted(d.table.items()))
     elif name == "objects":
         yield from ({"obj_num": n, "gen": g, "kind": k, "value": json.dumps(plain(v), ensure_ascii=False)} for n, g, k, v in d.objects())
+    elif name == "xfa_fields":
+        data = d.xfa()
+        yield from xfa.fields(data.decode("utf-8", "replace")) if data is not None else ()
+    elif name == "certificates":
+        for f in d.form_fields():
+            blob = (f["signature"] or {}).get("Contents") if f["type"] == "Sig" else None
+            yield from ({"field": f["name"], **c} for c in der.certificates(blob)) if isinstance(blob, bytes) else ()
+    elif name == "svg":
+        yield from ({"page_no": p.number, "svg": vector.svg(d, p)} for p in pages)
+    elif name == "postscript":
+        yield from ({"page_no": p.number, "postscript": vector.postscript(d, p, options.get("eps", False))} for p in pages)
+    elif name in ("rendered", "pixel_rows"):
+        for p in pages:
+            x = raster.render(d, p, float(options.get("dpi", 150)), int(options.get("scale_to", 0)))
+            if name == "rendered":
+                yield {"page_no": p.number, "width": x.shape[1], "height": x.shape[0], "png": png(x.shape[1], x.shape[0], 3, x.tobytes())}
+            else:
+                dark = (x < 10).all(axis=2)
+                for y in dark.any(axis=1).nonzero()[0].tolist():
+                    at = dark[y].nonzero()[0]
+                    yield {"page_no": p.number, "y": y, "dark": len(at), "first_x": int(at[0]), "last_x": int(at[-1])}
     elif name == "xfa":
         data = d.xfa()
         if data is not None:
@@ -132,9 +172,11 @@ def relation(files: DataFrame, name: str, doc_id: str = "doc_id", content: str =
     arrow = to_arrow_schema(schema)
     names = [f.name for f in schema.fields]
     password = options.get("password", "")
+    cid_dir = options.pop("cid_dir", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        own_options = options | ({"cid_text": cid_tables(cid_dir)} if cid_dir else {})
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], type=arrow.field(n).type) for n in names], schema=arrow)
@@ -150,7 +192,7 @@ def relation(files: DataFrame, name: str, doc_id: str = "doc_id", content: str =
                     d = Document(data or b"", password)
                     pages = d.pages[max(1, first) - 1:last if last > 0 else None]
                     if name != "errors":
-                        for r in rows_of(d, name, pages, options):
+                        for r in rows_of(d, name, pages, own_options):
                             held.append({**r, "doc_id": own})
                             if len(held) >= ROWS:
                                 yield out()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import escape_html
+from vellumine.pdf.images import png, pnm
 from vellumine.sources.pdf_source import open_path
 
 
@@ -48,18 +47,6 @@ def write_files(rows: DataFrame, where: str, name: str = "name", content: str =
     return rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).mapInArrow(run, "name string, n_bytes long")
 
 
-def png(width: int, height: int, components: int, data: bytes) -> bytes:
-    """An 8-bit grey or RGB image."""
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    row = width * components
-    raw = b"".join(b"\0" + data[k * row:(k + 1) * row].ljust(row, b"\0") for k in range(height))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if components == 1 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
-def pnm(width: int, height: int, components: int, data: bytes) -> bytes:
-    return f"P{5 if components == 1 else 6}\n{width} {height}\n255\n".encode() + data[:width * height * components]
-
-
 def exported(images: DataFrame, kind: str = "png") -> DataFrame:
     """(doc_id, page_no, index, extension, content): images as PNG or PNM, or in their own format where they have one."""
     from vellumine.operators.pdf import native_extension
