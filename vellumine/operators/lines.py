@@ -13,15 +13,32 @@ def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def varied(rows: DataFrame) -> DataFrame:
-    """Lines with list marks, numbers, indents and blanks by a rule of document and line: inputs that hold every kind."""
-    k = F.pmod(F.col("doc_id") * 7 + F.col("line_no") * 5, F.lit(11))
-    line = (
-        F.when(k == 0, F.concat(F.lit("- "), "line")).when(k == 1, F.concat(F.lit("• "), "line")).when(k == 2, F.concat(F.lit("3) "), "line"))
-        .when(k == 3, F.concat(F.lit("2.1 "), "line")).when(k == 4, F.concat(F.lit("    "), "line")).when(k == 5, F.lit(""))
-        .when(k == 6, F.translate(F.substring("line", 1, 40), X.LOWER, X.UPPER)).when(k == 7, F.substring("line", 1, 30)).otherwise(F.col("line"))
+def beside(docs: DataFrame, doc: str = "doc_id", text: str = "text", change=None) -> DataFrame:
+    """(doc_id, line_no, line, t, next_t): lines, trimmed, with the next one beside them.
+
+    Neighbours come of the array before it is exploded, so nothing is shuffled.
+    ``change(doc_id, line_no, line)`` may alter lines first.
+    """
+    parts = docs.select(F.col(doc).alias("doc_id"), F.split(F.col(text), "\n", -1).alias("line"))
+    if change is not None:
+        parts = parts.withColumn("line", F.transform("line", lambda c, i: change(F.col("doc_id"), i, c)))
+    parts = parts.withColumn("t", F.transform("line", lambda c: X.trim(c)))
+    rows = parts.select("doc_id", F.posexplode(F.arrays_zip("line", "t", F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(0))).alias("next_t"))).alias("line_no", "s"))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "s.line", "s.t", "s.next_t")
+
+
+def variation(doc_id: Column, line_no: Column, line: Column) -> Column:
+    """A line with a list mark, number, indent or nothing by a rule of document and line: inputs that hold every kind."""
+    k = F.pmod(doc_id * 7 + line_no * 5, F.lit(11))
+    return (
+        F.when(k == 0, F.concat(F.lit("- "), line)).when(k == 1, F.concat(F.lit("• "), line)).when(k == 2, F.concat(F.lit("3) "), line))
+        .when(k == 3, F.concat(F.lit("2.1 "), line)).when(k == 4, F.concat(F.lit("    "), line)).when(k == 5, F.lit(""))
+        .when(k == 6, F.translate(F.substring(line, 1, 40), X.LOWER, X.UPPER)).when(k == 7, F.substring(line, 1, 30)).otherwise(line)
     )
-    return rows.withColumn("line", line)
+
+
+def varied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("line", variation(F.col("doc_id"), F.col("line_no"), F.col("line")))
 
 
 def _in_order() -> Window:
@@ -29,9 +46,11 @@ def _in_order() -> Window:
 
 
 def kinds(rows: DataFrame) -> DataFrame:
-    """Lines with ``t`` (trimmed), ``next_t`` and kind: blank, heading, bullet, code or paragraph."""
-    w = _in_order()
-    named = rows.withColumn("t", X.trim(F.col("line"))).withColumn("next_t", F.lead("t").over(w))
+    """Lines with ``t`` (trimmed), ``next_t`` and kind: blank, heading, bullet, code or paragraph.
+
+    Rows of ``beside`` have their neighbours and stay where they are; for others a window looks ahead.
+    """
+    named = rows if "next_t" in rows.columns else rows.withColumn("t", X.trim(F.col("line"))).withColumn("next_t", F.lead("t").over(_in_order()))
     kind = F.when(F.col("t") == "", "blank").when(X.is_heading(F.col("t"), F.col("next_t")), "heading").when(X.is_bullet(F.col("t")), "bullet").when(X.is_code(F.col("line")), "code").otherwise("paragraph")
     return named.withColumn("kind", kind)
 

@@ -17,6 +17,10 @@ def varied(spark: SparkSession, d: str) -> DataFrame:
     return L.varied(L.lines(documents(spark, d)))
 
 
+def varied_beside(spark: SparkSession, d: str) -> DataFrame:
+    return L.beside(documents(spark, d), change=L.variation)
+
+
 # --- SQL parts -------------------------------------------------------------------------------
 
 LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -112,16 +116,16 @@ TEXTS = "texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM doc
 
 
 def q_kind_counts(spark, d):
-    return L.kinds(varied(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t").cast("long")).alias("chars"))
+    return L.kinds(varied_beside(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t").cast("long")).alias("chars"))
 
 
 def q_headings(spark, d):
-    k = L.kinds(varied(spark, d)).where(F.col("kind") == "heading")
+    k = L.kinds(varied_beside(spark, d)).where(F.col("kind") == "heading")
     return k.select("doc_id", "line_no", X.heading_level(F.col("t")).cast("long").alias("level"), F.col("t").alias("title"))
 
 
 def q_items(spark, d):
-    k = L.kinds(varied(spark, d)).where(F.col("kind") == "bullet")
+    k = L.kinds(varied_beside(spark, d)).where(F.col("kind") == "bullet")
     return k.select("doc_id", "line_no", X.list_item(F.col("t")).alias("item"))
 
 
@@ -176,7 +180,7 @@ QUERIES = {
     "list_items": q_items,
     "all_caps_lines": q_caps,
     "hyphenated_lines": q_hyphens,
-    "markdown_body": lambda s, d: L.markdown(varied(s, d)),
+    "markdown_body": lambda s, d: L.markdown(varied_beside(s, d)),
     "html_paragraphs": lambda s, d: L.html_paragraphs(varied(s, d)),
     "xml_lines": lambda s, d: L.xml_lines(varied(s, d)),
     "html_escape": q_escape,
