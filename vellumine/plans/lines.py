@@ -163,7 +163,7 @@ def q_word_list(spark, d):
 
 def q_cjk_runs(spark, d):
     """Runs of CJK and other characters, for the choice of a font: lines get CJK marks by a rule."""
-    rows = L.lines(documents(spark, d)).where("line_no < 3").withColumn("line", F.concat(F.substring("line", 1, 10), F.lit("漢字"), F.substring("line", 11, 10), F.lit("かな")))
+    rows = L.lines(documents(spark, d)).withColumn("line", F.concat(F.lit("漢字"), "line", F.lit("かな"), F.col("line_no").cast("string")))
     runs = F.regexp_extract_all("line", F.lit(rf"{X.CJK_WIDE}+|[^{X.CJK_WIDE[1:]}+"), F.lit(0))
     return rows.select("doc_id", "line_no", F.posexplode(runs).alias("run", "part")).select("doc_id", "line_no", F.col("run").cast("long").alias("run"), "part", F.col("part").rlike(X.CJK_WIDE).alias("is_cjk"))
 
@@ -221,7 +221,7 @@ SELECT doc_id, line_no, p - 1 AS at, substr(line, p, 3) AS found, substr(line, g
     "word_top": "SELECT lang, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM documents) GROUP BY ALL)) WHERE place <= 20",
     "page_breaks": f"""WITH {LINES}, t AS (SELECT doc_id, line_no, {s_trim('line')} AS t FROM lines), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n FROM t WHERE t <> ''),
 p AS (SELECT doc_id, n // 5 AS page, string_agg(t, chr(10) ORDER BY n) AS body FROM n GROUP BY ALL) SELECT doc_id, count(*) AS pages, string_agg(body, chr(12) ORDER BY page) AS body FROM p GROUP BY doc_id""",
-    "cjk_runs": f"""WITH {LINES}, m AS (SELECT doc_id, line_no, substr(line, 1, 10) || '漢字' || substr(line, 11, 10) || 'かな' AS line FROM lines WHERE line_no < 3),
+    "cjk_runs": f"""WITH {LINES}, m AS (SELECT doc_id, line_no, '漢字' || line || 'かな' || line_no::VARCHAR AS line FROM lines),
 r AS (SELECT doc_id, line_no, regexp_extract_all(line, '{X.CJK_WIDE}+|[^{X.CJK_WIDE[1:]}+') AS r FROM m), u AS (SELECT doc_id, line_no, unnest(range(len(r))) AS run, unnest(r) AS part FROM r)
 SELECT *, regexp_matches(part, '{X.CJK_WIDE}') AS is_cjk FROM u""",
     "exact_duplicates": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",

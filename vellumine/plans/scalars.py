@@ -158,15 +158,16 @@ S_LAYERS = "SELECT c_nationkey AS doc_id, count(*) AS n, count(DISTINCT o_custke
 
 
 def q_links(spark, d):
-    """Words under links: orders as pages, items as words, every fourth customer's order with links."""
+    """Words under links: orders as pages, items as words, a link on each whose place follows the customer."""
     li = table(spark, d, "lineitem")
     w = li.select((F.col("l_orderkey") % 200).alias("doc_id"), F.col("l_orderkey").cast("int").alias("page_no"), "l_linenumber", F.col("l_returnflag").alias("text"), (F.col("l_linenumber") * 80.0).alias("x"), (F.col("l_linenumber") * 80.0 + 40).alias("x_end"), (F.pmod("l_partkey", F.lit(50)) * 15.0).alias("y"), F.col("l_linenumber").cast("int").alias("word_no"))
-    o = table(spark, d, "orders").where("o_custkey % 4 = 0").select((F.col("o_orderkey") % 200).alias("doc_id"), F.col("o_orderkey").cast("int").alias("page_no"), F.lit(0).alias("index"), F.lit("Link").alias("subtype"), F.array(F.lit(100.0), F.lit(100.0), F.lit(330.0), F.lit(500.0)).alias("rect"))
+    left = (F.col("o_custkey") % 4) * 100.0
+    o = table(spark, d, "orders").select((F.col("o_orderkey") % 200).alias("doc_id"), F.col("o_orderkey").cast("int").alias("page_no"), F.lit(0).alias("index"), F.lit("Link").alias("subtype"), F.array(left, F.lit(100.0), left + 230, F.lit(500.0)).alias("rect"))
     return P.linked_words(w, o).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"), F.min("word_no").alias("first"))
 
 
 S_LINKS = """SELECT doc_id, page_no, count(*) AS n, min(word_no) AS first FROM (SELECT DISTINCT l_orderkey % 200 AS doc_id, l_orderkey::INTEGER AS page_no, l_linenumber::INTEGER AS word_no, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey
- WHERE o_custkey % 4 = 0 AND l_linenumber * 80.0 <= 330 AND l_linenumber * 80.0 + 40 >= 100 AND (l_partkey % 50) * 15.0 BETWEEN 100 AND 500) GROUP BY ALL"""
+ WHERE l_linenumber * 80.0 <= o_custkey % 4 * 100.0 + 230 AND l_linenumber * 80.0 + 40 >= o_custkey % 4 * 100.0 AND (l_partkey % 50) * 15.0 BETWEEN 100 AND 500) GROUP BY ALL"""
 
 
 def q_windows(spark, d):
