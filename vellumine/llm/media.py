@@ -17,7 +17,6 @@ empty table makes no archive and an empty result.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import time
 import uuid
