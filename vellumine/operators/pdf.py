@@ -266,6 +266,11 @@ def paper_size(width: Column, height: Column, within: float = 5.0) -> Column:
     return F.concat(F.coalesce(*hits), F.when(width > height, ", landscape").otherwise(", portrait"))
 
 
+def pixel_size(width: Column, height: Column, dpi: float = 150.0) -> tuple[Column, Column]:
+    """Pixels of a page at a resolution, rounded up."""
+    return tuple(F.greatest(F.lit(1), F.ceil(side * dpi / 72 - 1e-9)).cast("long") for side in (width, height))
+
+
 def distinct_fonts(fonts: DataFrame) -> DataFrame:
     """Fonts of documents once by name and type, at their first page."""
     return fonts.groupBy("doc_id", "name", "type").agg(F.min("page_no").alias("first_page"), F.max("embedded").alias("embedded"), F.max("subset").alias("subset"), F.max("unicode").alias("unicode"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from vellumine.functions import text as X
 from vellumine.operators import lines as L
 from vellumine.operators import pdf as P
-from vellumine.plans.lines import LINES, documents, s_bullet, s_caps, s_trim
+from vellumine.plans.lines import LINES, documents, s_bullet, s_caps, s_escape, s_trim
+from vellumine.sources import sinks
 
 SHOWN = f"{LINES}, shown AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n, t FROM (SELECT doc_id, line_no, {s_trim('line')} AS t FROM lines) WHERE t <> '')"
 
@@ -89,13 +90,51 @@ def q_errors(spark, d):
     return P.relation(f.withColumn("content", broken), "errors").select("doc_id", "error")
 
 
+def q_words(spark, d):
+    got = P.relation(files(spark, d), "words")
+    return got.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "text", F.round("x_end", 3).alias("x_end"))
+
+
+def q_mode(mode):
+    return lambda spark, d: P.document_text(P.relation(files(spark, d), "text", mode=mode))
+
+
+def q_sizes(spark, d):
+    got = P.relation(files(spark, d), "pages")
+    w, h = P.pixel_size(F.col("crop.urx") - F.col("crop.llx"), F.col("crop.ury") - F.col("crop.lly"), 150)
+    return got.select("doc_id", F.col("page_no").cast("long").alias("page_no"), w.alias("width"), h.alias("height"))
+
+
+def q_svg(spark, d):
+    got = P.relation(files(spark, d), "svg")
+    return got.groupBy("doc_id").agg(F.sum(F.regexp_count("svg", F.lit("<text ")).cast("long")).alias("texts"))
+
+
+def q_html(spark, d):
+    """Documents as HTML, a paragraph a run of lines, and Markdown front matter of their languages and sources."""
+    body = L.html_paragraphs(L.lines(documents(spark, d))).groupBy("doc_id").agg(L.joined("html", "paragraph", "\n").alias("body"))
+    docs = documents(spark, d).select("doc_id", "lang", "source")
+    whole = docs.join(body, "doc_id", "left")
+    return whole.select("doc_id", F.md5(sinks.html_document(F.col("source"), F.coalesce("body", F.lit("")))).alias("html"), sinks.front_matter(F.col("lang"), F.col("source"), F.lit(None).cast("string")).alias("front"))
+
+
 QUERIES = {
+    "pdf_words": q_words, "pdf_layout_text": q_mode("layout"), "pdf_column_text": q_mode("columns"), "pdf_flow_text": q_mode("flow"), "pdf_pixel_sizes": q_sizes, "pdf_svg": q_svg, "html_documents": q_html,
     "roundtrip_line_kinds": q_line_kinds, "roundtrip_lines": q_lines, "roundtrip_text": q_text, "roundtrip_pages": q_pages, "roundtrip_operators": q_ops, "roundtrip_boxes": q_boxes,
     "pdf_split_merge": q_split_merge, "pdf_fonts": q_fonts, "pdf_docs": q_docs, "pdf_page_stats": q_page_stats, "pdf_search": q_search, "pdf_markdown": q_markdown, "pdf_objects": q_objects, "pdf_errors": q_errors,
 }
 
 TEXT = f"WITH {SHOWN}, p AS (SELECT doc_id, n // PER_PAGE AS page, string_agg(t, chr(10) ORDER BY n) AS body FROM shown GROUP BY ALL) SELECT d.doc_id, coalesce(string_agg(body, chr(12) ORDER BY page), '') AS text FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id"
 ORACLE = {
+    "pdf_words": f"WITH {SHOWN} SELECT doc_id, n // 50 + 1 AS page_no, t AS text, (72 + 6 * length(t))::DOUBLE AS x_end FROM shown",
+    "pdf_layout_text": TEXT.replace("PER_PAGE", "50").replace("string_agg(t,", "string_agg(repeat(' ', 9) || t,"),
+    "pdf_pixel_sizes": f"WITH {SHOWN}, k AS (SELECT d.doc_id, greatest(1, ceil(count(s.n) / 50.0))::BIGINT AS k FROM documents d LEFT JOIN shown s ON d.doc_id = s.doc_id GROUP BY d.doc_id) SELECT doc_id, unnest(range(1, k + 1)) AS page_no, 1275::BIGINT AS width, 1650::BIGINT AS height FROM k",
+    "pdf_svg": f"WITH {SHOWN} SELECT d.doc_id, coalesce(sum(CASE WHEN n % 2 = 1 AND length(t) > 1 THEN 2 WHEN n IS NOT NULL THEN 1 END), 0)::BIGINT AS texts FROM documents d LEFT JOIN shown s ON d.doc_id = s.doc_id GROUP BY d.doc_id",
+    "html_documents": f"""WITH {LINES}, trimmed AS (SELECT doc_id, line_no, {s_trim('line')} AS t FROM lines), islands AS (
+  SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS paragraph FROM trimmed
+), j AS (SELECT doc_id, paragraph, '<p>' || {s_escape("string_agg(t, ' ' ORDER BY line_no)")} || '</p>' AS html FROM islands WHERE t <> '' GROUP BY ALL), b AS (SELECT doc_id, string_agg(html, chr(10) ORDER BY paragraph) AS body FROM j GROUP BY doc_id)
+SELECT d.doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10) || '<title>' || coalesce(source, '') || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || coalesce(body, '') || chr(10) || '</body>' || chr(10) || '</html>' || chr(10)) AS html,
+ '---' || chr(10) || 'title: "' || lang || '"' || chr(10) || 'author: "' || source || '"' || chr(10) || '---' || chr(10) || chr(10) AS front FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id""",
     "roundtrip_line_kinds": f"WITH {SHOWN} SELECT lang, count(*) AS lines, count(*) FILTER ({s_caps('t')}) AS caps, count(*) FILTER ({s_bullet('t')}) AS bullets, sum(length(t))::BIGINT AS chars FROM shown JOIN documents USING (doc_id) GROUP BY lang",
     "roundtrip_lines": f"WITH {SHOWN} SELECT doc_id, n // 50 + 1 AS page_no, n % 50 + 1 AS line_no, t AS line FROM shown",
     "roundtrip_text": TEXT.replace("PER_PAGE", "50"),
