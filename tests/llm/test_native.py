@@ -1,8 +1,8 @@
-"""Mixing and URL filters: SQL's rows, and defined results for odd rows."""
+"""Mixing, URL filters and chats: SQL's rows, and defined results for odd rows."""
 
 from pyspark.sql import functions as F
 
-from vellumine.llm import mixing, urls
+from vellumine.llm import chat, mixing, urls
 
 DOCS = "doc_id long, text string, source string, extra string"
 
@@ -10,6 +10,7 @@ DOCS = "doc_id long, text string, source string, extra string"
 def test_same_rows_as_sql(same):
     same(mixing.op7, mixing.sql())
     same(urls.op9, urls.sql())
+    same(chat.op6, chat.sql())
 
 
 def rows_of(spark, rows):

@@ -163,3 +163,21 @@ def op6(spark, sf_dir: str) -> DataFrame:
     rendered = reconstruct(turn_events(table.unionByName(more)))
     read_back = F.pandas_udf(digests, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return rendered.select(F.col("conv").alias("conv_id"), read_back("formatted").alias("d"), "formatted").select("conv_id", "d.*", "formatted")
+
+
+def sql(table: str = "conversations") -> str:
+    """DuckDB SQL for op6: the template and its digests by aggregates."""
+    escaped = lambda c: f"replace(replace({c}, '\\', '\\\\'), '<|', '<\\|')"
+    return f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {table}
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), shown AS (
+  SELECT *, '{TURN}' || {escaped('role')} || '{TEXT}' || {escaped('text')} || '{END}' AS part FROM rows
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, string_agg(part, '' ORDER BY turn, role, text) AS formatted
+  FROM shown GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, length(formatted) AS formatted_chars, formatted FROM whole
+"""
