@@ -106,3 +106,26 @@ def test_dates(spark):
     rows = spark.createDataFrame([("D:20200102030405+05'30'",), ("D:2020",), ("D:20201301",), ("nonsense",), (None,), ("D:20200102030405Z",)], "s string")
     got = [r[0] for r in rows.select(pdf_date(F.col("s"))).collect()]
     assert got == [datetime.datetime(2020, 1, 1, 21, 34, 5), datetime.datetime(2020, 1, 1), None, None, None, datetime.datetime(2020, 1, 2, 3, 4, 5)]
+
+
+def test_attach(spark, drawn):
+    once = build.attach(drawn, "é.txt", b"one", "text/plain")
+    twice = build.attach(once, "b.bin", b"two" * 100)
+    assert twice.startswith(once) and once.startswith(drawn)
+    d = Document(twice)
+    assert {(a["name"], a["data"]) for a in d.attachments()} == {("é.txt", b"one"), ("b.bin", b"two" * 100)} and len(d.pages) == 1
+    compact = build.attach(build.from_lines(["x"], compact=True), "c", b"3")
+    assert [a["data"] for a in Document(compact).attachments()] == [b"3"]
+    files = spark.createDataFrame([(1, bytearray(drawn), "n.txt", bytearray(b"data"))], "doc_id long, content binary, name string, attachment binary")
+    assert P.relation(P.attached(files), "attachments").first()["name"] == "n.txt"
+
+
+def test_tiff():
+    import struct
+
+    from vellumine.pdf.images import tiff
+
+    x = tiff(2, 1, 3, bytes(range(6)))
+    at = struct.unpack("<I", x[4:8])[0]
+    tags = {t: v for t, _, _, v in (struct.unpack("<HHII", x[at + 2 + 12 * k:at + 14 + 12 * k]) for k in range(struct.unpack("<H", x[at:at + 2])[0]))}
+    assert tags[256] == 2 and tags[257] == 1 and x[tags[273]:tags[273] + tags[279]] == bytes(range(6)) and struct.unpack("<HHH", x[tags[258]:tags[258] + 6]) == (8, 8, 8)

@@ -235,6 +235,16 @@ def split(files: DataFrame, first: int = 1, last: int = 0) -> DataFrame:
     return files.select("doc_id", F.posexplode(parts).alias("page_no", "content")).withColumn("page_no", F.col("page_no") + max(1, first))
 
 
+def attached(files: DataFrame, name: str = "name", attachment: str = "attachment") -> DataFrame:
+    """(doc_id, content): files with a file attached, from columns of its name and bytes."""
+    parts = F.struct(F.col("content").alias("content"), F.col(name).alias("name"), F.col(attachment).alias("data"))
+
+    def apply(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([build.attach(c, n, d or b"") for c, n, d in zip(rows["content"], rows["name"], rows["data"], strict=True)])
+
+    return files.select("doc_id", F.pandas_udf(apply, "binary")(parts).alias("content"))
+
+
 def merge(files: DataFrame, by: str = "doc_id", order: str = "page_no") -> DataFrame:
     """(by, content): the files of a group as one, in order. A group's files meet in one task, as they do in the file."""
     gathered = files.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "content"))).alias("parts"))

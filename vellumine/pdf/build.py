@@ -159,3 +159,28 @@ def split(data: bytes, first: int = 1, last: int = 0) -> list[bytes]:
 
 def merge(files: list[bytes]) -> bytes:
     return from_pages([p for data in files for p in Document(data).pages])
+
+
+def attach(data: bytes, name: str, content: bytes, mime: str | None = None) -> bytes:
+    """The file with an attachment, as an incremental update: bytes before it stay as they are."""
+    doc = Document(data)
+    if doc.handler is not None:
+        raise ValueError("files are attached to plain documents only")
+    root = doc.trailer["Root"]
+    n = max([*doc.table, doc.resolve(doc.trailer.get("Size")) or 1]) + 1
+    held = [x for key, spec in doc.names("EmbeddedFiles") for x in (key.encode("latin-1", "replace"), spec)]
+    text = b"\xfe\xff" + name.encode("utf-16-be")
+    file = Stream({"Type": Name("EmbeddedFile"), **({"Subtype": Name(mime)} if mime else {}), "Params": {"Size": len(content)}, "Filter": Name("FlateDecode")}, zlib.compress(content))
+    spec = {"Type": Name("Filespec"), "F": name.encode("latin-1", "replace"), "UF": text, "EF": {"F": Ref(n, 0), "UF": Ref(n, 0)}}
+    pairs = sorted([*zip(held[::2], held[1::2], strict=True), (name.encode("latin-1", "replace"), Ref(n + 1, 0))], key=lambda p: p[0])
+    names = doc.resolve(doc.root.get("Names"))
+    catalog = {**doc.root, "Names": {**(names if isinstance(names, dict) else {}), "EmbeddedFiles": {"Names": [x for p in pairs for x in p]}}}
+    out, places = bytearray(data if data.endswith(b"\n") else data + b"\n"), {}
+    for num, value in ((root.num, catalog), (n, file), (n + 1, spec)):
+        places[num] = len(out)
+        out += f"{num} 0 obj\n".encode() + serialise(value) + b"\nendobj\n"
+    before = int(data[data.rfind(b"startxref") + 9:].split()[0])
+    start = len(out)
+    out += b"xref\n" + b"".join(f"{k} 1\n{at:010d} 00000 n \n".encode() for k, at in sorted(places.items()))
+    out += b"trailer\n" + serialise({"Size": n + 2, "Root": root, "Prev": before, **({"Info": doc.trailer["Info"]} if "Info" in doc.trailer else {}), **({"ID": doc.trailer["ID"]} if "ID" in doc.trailer else {})})
+    return bytes(out) + f"\nstartxref\n{start}\n%%EOF\n".encode()

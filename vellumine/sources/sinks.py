@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import escape_html
-from vellumine.pdf.images import png, pnm
+from vellumine.pdf.images import png, pnm, tiff
 from vellumine.sources.pdf_source import open_path
 
 
@@ -48,7 +48,7 @@ def write_files(rows: DataFrame, where: str, name: str = "name", content: str =
 
 
 def exported(images: DataFrame, kind: str = "png") -> DataFrame:
-    """(doc_id, page_no, index, extension, content): images as PNG or PNM, or in their own format where they have one."""
+    """(doc_id, page_no, index, extension, content): images as PNG, PNM or TIFF, or in their own format where they have one."""
     from vellumine.operators.pdf import native_extension
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def exported(images: DataFrame, kind: str = "png") -> DataFrame:
                 if n == 4:
                     data = bytes(255 - min(255, data[k + c] + data[k + 3]) for k in range(0, len(data) - 3, 4) for c in range(3))
                     n = 3
-                out.append((png if kind == "png" else pnm)(w, h, 3 if n >= 3 else 1, data))
+                out.append({"png": png, "pnm": pnm, "tiff": tiff}[kind](w, h, 3 if n >= 3 else 1, data))
             at = b.schema.get_field_index("data")
             yield b.set_column(at, "data", pa.array(out, pa.binary())).select(["doc_id", "page_no", "index", "extension", "data"])
 
