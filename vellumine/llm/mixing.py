@@ -63,24 +63,31 @@ def offset(source: Column, seed: str) -> Column:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:", rows_per_bucket: int = ROWS_PER_BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken (and ``carry``)."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *carry)
+    own = F.col(source)
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(own, F.lit("")).alias("key"), own.isNull().alias("none"), word_count(F.col(text)).alias("size"), *carry)
     sized = sized if carry else cut(sized)  # what is carried may be long: then words are counted twice instead
-    counts = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    aims = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
+    named = F.when(~F.col("none"), F.col("key")).alias("source")  # a null source is a key of its own, so that joins and windows share one partitioning
+    counts = cut(sized.groupBy("key", "none", "size").agg(F.count(F.lit(1)).alias("n")))
+    aims = targets(counts.groupBy("key", "none").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).select(named, "source_size"), weights, most)
+    aims = aims.select(F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), "source_size", "target")
     # at most rows / rows_per_bucket rows, hence small beside the input
-    hot = counts.where(F.col("n") > rows_per_bucket).select(F.col("source").alias("hot_source"), F.col("size").alias("hot_size"), F.ceil(F.col("n") / F.lit(rows_per_bucket)).alias("salts"))
-    salted = sized.join(F.broadcast(hot), F.col("source").eqNullSafe(F.col("hot_source")) & (F.col("size") == F.col("hot_size")), "left").withColumn("salt", F.coalesce(F.pmod("doc_id", "salts"), F.lit(0)).cast("long")).drop("hot_source", "hot_size", "salts")
-    cells = counts.where(F.col("n") <= rows_per_bucket).withColumn("salt", F.lit(0).cast("long"))
+    hot = counts.where(F.col("n") > rows_per_bucket).select("key", "none", "size", F.ceil(F.col("n") / F.lit(rows_per_bucket)).alias("salts"))
+    cells, salted, keys = counts.withColumn("salt", F.lit(0).cast("long")), sized, ["key", "none", "size"]
     if not hot.isEmpty():
-        cells = cells.unionByName(salted.join(F.broadcast(hot), F.col("source").eqNullSafe(F.col("hot_source")) & (F.col("size") == F.col("hot_size")), "left_semi").groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")))
-    upto = Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+        keys = [*keys, "salt"]
+        salted = sized.join(F.broadcast(hot), ["key", "none", "size"], "left").withColumn("salt", F.coalesce(F.pmod("doc_id", "salts"), F.lit(0)).cast("long")).drop("salts")
+        again = salted.join(F.broadcast(hot), ["key", "none", "size"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        cells = cells.where(F.col("n") <= rows_per_bucket).unionByName(again)
+    upto = Window.partitionBy("key", "none").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    starts = cells.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n").join(aims, cells["source"].eqNullSafe(aims["source"])).select(cells["source"].alias("cell_source"), F.col("size").alias("cell_size"), F.col("salt").alias("cell_salt"), "before", "source_size", "target", rate.alias("rate"))
-    inside = Window.partitionBy("source", "size", "salt").orderBy("doc_id")
-    ranked = salted.withColumn("at", F.row_number().over(inside)).join(starts, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("size") == F.col("cell_size")) & (F.col("salt") == F.col("cell_salt")))
+    starts = cells.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n").join(aims, ["key", "none"]).withColumn("rate", rate)
+    # one shuffle of documents serves the ranks within buckets and the join with the buckets' starts
+    inside = Window.partitionBy(*keys).orderBy("doc_id")
+    ranked = salted.withColumn("at", F.row_number().over(inside)).join(starts, keys)
     rank = (F.col("before") + F.col("at")).cast("double")
-    crossed = F.floor(F.col("rate") * rank + offset(F.col("source"), seed)) - F.floor(F.col("rate") * (rank - 1) + offset(F.col("source"), seed))
-    return ranked.withColumn("copies", crossed.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
+    shift = offset(F.col("key"), seed)
+    crossed = F.floor(F.col("rate") * rank + shift) - F.floor(F.col("rate") * (rank - 1) + shift)
+    return ranked.withColumn("copies", crossed.cast("long")).select("doc_id", named, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
