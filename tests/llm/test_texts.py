@@ -210,6 +210,39 @@ def test_leaks_match_containment(spark):
     assert {(r["doc_id"], r["item_id"]) for r in D.op4(spark, sf).collect()} == exact
 
 
+def test_verbatim_items_at_any_offset():
+    random.seed(7)
+    letters = "abcdefghijklmnoprstuvw"
+    for mean in (4, 9):
+        word = lambda mean=mean: "".join(random.choice(letters) for _ in range(random.randint(1, 2 * mean - 1)))
+        items, texts = [], []
+        for n in range(24, 81, 4):
+            for shift in range(4):
+                item = D.normal(" ".join(word() for _ in range(n))[:n].strip() + "x" * n)[:n]
+                items.append((len(items), item))
+                texts.append(" ".join(word() for _ in range(40 + shift)) + " " + item.decode() + " " + " ".join(word() for _ in range(30)))
+        found = D.Index(items).leaks(texts)
+        assert all({"item_id": k, "edits": 0} == {x: f[x] for x in ("item_id", "edits")} for k, own in enumerate(found) for f in own)
+        assert [len(f) for f in found] == [1] * len(items)
+
+
+def test_short_items_and_runs_without_blanks_with_an_edit():
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefghijklmnoprstuvw") for _ in range(random.randint(2, 7)))
+    glyphs = lambda n: "".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    makers = {"short": lambda: " ".join(word() for _ in range(9))[:36].strip() + "q", "run": lambda: glyphs(60)}
+    for kind, make in makers.items():
+        items = [(k, D.normal(make())) for k in range(80)]
+        texts = []
+        for k, (_, item) in enumerate(items):
+            s = list(item.decode())
+            s[random.randrange(len(s))] = "z"
+            around = (lambda n: glyphs(n)) if kind == "run" else (lambda n: " " + " ".join(word() for _ in range(n)) + " ")
+            texts.append(around(20 + k % 4) + "".join(s) + around(20))
+        found = [any(x["item_id"] == k for x in f) for k, f in enumerate(D.Index(items).leaks(texts))]
+        assert sum(found) / len(found) >= 0.95, (kind, sum(found))
+
+
 def test_leak_odd_rows(spark):
     bench = spark.createDataFrame([(1, "Short one"), (2, None), (3, "!!"), (4, "a longer benchmark item that has quite a few words in it to find"), (4, "a longer benchmark item that has quite a few words in it to find")], "item_id long, text string")
     rows = [(1, None, None, None, None), (2, "", None, None, None), (3, "x short, ONE y", None, None, None), (4, "shorter ones", None, None, None), (5, "so A LONGER benchmark item, that has quite a few words in it to find", None, None, None), (6, LONG, None, None, None)]

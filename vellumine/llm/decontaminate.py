@@ -3,15 +3,20 @@
 Texts are lower-cased, and what isn't a letter or digit becomes one blank. A random walk (CGK)
 embeds a window: each step copies the byte under a pointer, and a random bit of step and byte says
 whether the pointer moves, so strings within a small edit distance meet again after an edit and
-agree in most coordinates. Windows have the size class of the items they are held against; they
-start at every ``STRIDE``-th word of a document and at every word of an item, so whichever way a
-passage lies, some windows start at the same word. Each repetition samples ``SAMPLED`` coordinates
+agree in most coordinates. Windows start at words, and in runs of ``RUN`` bytes or more without a
+blank at every character. An item has windows at all of its starts, of the largest size class that
+leaves it room for ``2 * STRIDE`` starts and for as many words of usual length: documents have such windows at every ``STRIDE``-th start,
+so whichever way a passage lies, two windows start at the same place. Items too short for that
+have windows of the least class, which documents then have at every start. Each repetition samples ``SAMPLED`` coordinates
 as a key. Repetitions are as many as give the target recall of windows that agree in ``AGREE`` of
 coordinates. A document window whose key an item window has, and whose whole embedding agrees in
 ``HAMMING`` of its coordinates, is verified: the least edit
 distance of the whole item to any part of the text about it (Myers's bit vectors) must be at most 15 % of the
 item's bytes.
 
+Items that a document holds as they are need no luck: the first ``SHORTEST`` bytes of each are looked
+up at every byte.
+
 Documents are read whole, in one pass with no shuffle. Items are broadcast in blocks of at most
 ``BLOCK_BYTES``; more items mean more passes, none is left out.
 
@@ -36,6 +41,8 @@ from vellumine.llm.columns import append
 STRIDE = 4
 CLASSES = (24, 32, 64, 96)
 SHORTEST = 24
+#: Bytes of a run without blanks from which windows start at each of its characters.
+RUN = 24
 EDITS = 0.15
 WALKS = 2
 SAMPLED, AGREE, RECALL = 8, 0.72, 0.97
@@ -46,6 +53,8 @@ BLOCK_BYTES = 16 << 20
 SEED = 20240607
 #: Windows that are walked at once (their copies stay in a core's cache).
 CHUNK = 16_384
+#: Windows whose keys are held at once.
+HELD = 8 * CHUNK
 
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if (48 <= i <= 57 or 97 <= i <= 122 or i >= 128) else 32 for i in range(256))
 
@@ -82,6 +91,27 @@ def distance_within(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, at
 
 
+def window_starts(data: np.ndarray) -> np.ndarray:
+    """Where windows start: at words, and at each character of long runs; ``data`` ends in a blank or zero."""
+    ends = np.flatnonzero((data == 32) | (data == 0))
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    n = ends - begins
+    flags = np.zeros(len(data), bool)
+    flags[begins[n > 0]] = True
+    for lo, hi in zip(begins[n >= RUN], ends[n >= RUN], strict=True):
+        flags[lo:hi] |= (data[lo:hi] & 0xC0) != 0x80
+    return np.flatnonzero(flags)
+
+
+_HEAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def heads(data: np.ndarray) -> np.ndarray:
+    """A hash of the SHORTEST (three times 8) bytes from each byte on."""
+    v = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
+    return v[:-16] * _HEAD[0] + v[8:-8] * _HEAD[1] + v[16:] * _HEAD[2]
+
+
 class Plan:
     """The walks' random bits and the coordinates that keys sample: the same for all, from a seed."""
 
@@ -92,6 +122,8 @@ class Plan:
         self.bits = random.integers(0, 2, (WALKS, most, 256)).astype(np.intp)
         n = repetitions()
         self.samples = {(w, c, r): np.sort(random.choice(self.steps[c], SAMPLED, replace=False)) for w in range(WALKS) for c in CLASSES for r in range(n)}
+        # short items have one window at least, not two
+        self.samples |= {(w, CLASSES[0], r): np.sort(random.choice(self.steps[CLASSES[0]], SAMPLED, replace=False)) for w in range(WALKS) for r in range(n, repetitions(1))}
 
     def walk(self, data: np.ndarray, starts: np.ndarray, w: int, steps: int) -> np.ndarray:
         """The embedding: bytes copied at each step (steps by windows)."""
@@ -104,9 +136,9 @@ class Plan:
             at += move
         return copied
 
-    def keys(self, data: np.ndarray, starts: np.ndarray, classes: tuple[int, ...]) -> dict[tuple[int, int, int], np.ndarray]:
-        """64-bit keys by (walk, class, repetition) of the windows at ``starts``; data ends in enough padding."""
-        out = {k: np.empty(len(starts), np.uint64) for k in self.samples if k[1] in classes}
+    def keys(self, data: np.ndarray, starts: np.ndarray, classes: tuple[int, ...], n: int) -> dict[tuple[int, int, int], np.ndarray]:
+        """64-bit keys by (walk, class, repetition under n) of the windows at ``starts``; data ends in enough padding."""
+        out = {k: np.empty(len(starts), np.uint64) for k in self.samples if k[1] in classes and k[2] < n}
         most = max(self.steps[c] for c in classes)
         for lo in range(0, len(starts), CHUNK):
             for w in range(WALKS):
@@ -117,9 +149,21 @@ class Plan:
         return out
 
 
-def size_class(n: int) -> int:
-    """Length of the windows that an item of n bytes is met by: most of it, with room for two document windows to start."""
-    return max([c for c in CLASSES if c <= n - 2 * STRIDE * 6], default=CLASSES[0])
+def item_windows(text: bytes) -> tuple[int, int, list[int]]:
+    """Stride of the document windows that an item is met by, their length, and where its own windows start.
+
+    A document has the item's starts and no others, save in the first and last run, which it may
+    continue: there the item has a window at each character.
+    """
+    data = np.frombuffer(text + b"\0", np.uint8)
+    sure = window_starts(data)
+    first, last = (text + b" ").index(b" "), text.rfind(b" ") + 1
+    at = np.arange(len(text))
+    starts = np.union1d(sure, at[((at < first) | (at >= last)) & ((data[:-1] & 0xC0) != 0x80)])
+    sure = sure[sure > 0]
+    roomy = [c for c in CLASSES if c <= len(text) - 2 * STRIDE * 6 and (sure + c <= len(text)).sum() >= 2 * STRIDE]
+    stride, c = (STRIDE, max(roomy)) if roomy else (1, CLASSES[0])
+    return stride, c, starts[starts + c <= len(text)].tolist()
 
 
 class Index:
@@ -130,33 +174,42 @@ class Index:
         self.plan = Plan()
         self.grams = [[text[i:i + GRAM] for i in range(len(text) - GRAM + 1)] for _, text in items]
         self.short: dict[bytes, list[int]] = defaultdict(list)
-        windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        windows: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        self.heads: dict[bytes, list[int]] = defaultdict(list)
         data, base = bytearray(), []
         for k, (_, text) in enumerate(items):
             base.append(len(data))
             if len(text) < SHORTEST:
                 self.short[text].append(k)
             else:
-                c = size_class(len(text))
-                starts = [0] + [i + 1 for i, b in enumerate(text) if b == 32]
-                windows[c] += [(k, s) for s in starts if s + c <= len(text)]
+                stride, c, starts = item_windows(text)
+                windows[stride, c] += [(k, s) for s in starts]
+                self.heads[text[:SHORTEST]].append(k)
             data += text + b"\0"
         data += bytes(2 * max(CLASSES))
-        self.classes = tuple(sorted(windows))
+        self.classes: dict[int, tuple[int, ...]] = {x: tuple(sorted(c for y, c in windows if y == x)) for x in sorted({x for x, _ in windows})}
         self.tables: dict = {}
-        self.own: dict[int, np.ndarray] = {}
-        self.copies: dict[tuple[int, int], np.ndarray] = {}
+        self.own: dict[tuple[int, int], np.ndarray] = {}
+        self.copies: dict[tuple[int, int, int], np.ndarray] = {}
         whole = np.frombuffer(bytes(data), np.uint8)
-        for c, own in windows.items():
+        for (stride, c), own in windows.items():
             starts = np.array([base[k] + s for k, s in own])
-            self.own[c] = np.array(own)
+            self.own[stride, c] = np.array(own)
             for w in range(WALKS):
-                self.copies[w, c] = self.plan.walk(whole, starts, w, self.plan.steps[c])
-            for where, keys in self.plan.keys(whole, starts, (c,)).items():
+                self.copies[stride, w, c] = self.plan.walk(whole, starts, w, self.plan.steps[c])
+            for where, keys in self.plan.keys(whole, starts, (c,), self.repeated(stride)).items():
                 order = np.argsort(keys, kind="stable")
                 bits = np.zeros(1 << 18, bool)
                 bits[self.bucket(keys)] = True
-                self.tables[where] = (keys[order], order, bits)
+                self.tables[stride, *where] = (keys[order], order, bits)
+        self.head_shift = np.uint64(64 - max(18, (8 * len(self.heads)).bit_length()))
+        self.head_bits = np.zeros(1 << (64 - int(self.head_shift)), bool)
+        for h in self.heads:
+            self.head_bits[heads(np.frombuffer(h, np.uint8)) >> self.head_shift] = True
+
+    @staticmethod
+    def repeated(stride: int) -> int:
+        return repetitions(1 if stride == 1 else 2)
 
     @staticmethod
     def bucket(keys: np.ndarray) -> np.ndarray:
@@ -173,37 +226,57 @@ class Index:
         if self.classes:
             data = np.frombuffer(b"\0".join(folded) + bytes(2 * max(CLASSES)), np.uint8)
             base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in folded])])
-            words = np.flatnonzero((data[:-1] == 32) | (data[:-1] == 0)) + 1
-            words = np.concatenate([[0], words[words < base[-1] - 1]])
+            self.exact(found, folded, data, base)
+            words = window_starts(data)
             first = np.searchsorted(words, base[:-1])
             number = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
-            starts = words[number % STRIDE == 0]
-            met: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
-            for (w, c, r), keys in self.plan.keys(data, starts, self.classes).items():
-                table, order, bits = self.tables[w, c, r]
-                some = np.flatnonzero(bits[self.bucket(keys)])
-                lo, hi = np.searchsorted(table, keys[some], "left"), np.searchsorted(table, keys[some], "right")
-                n = hi - lo
-                if n.sum():
-                    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    met[w, c].append(np.column_stack([np.repeat(some, n), order[np.repeat(lo, n) + inner]]))
             tried: set = set()
-            for (w, c), pairs in met.items():
-                both = np.unique(np.concatenate(pairs), axis=0)
-                for part in np.array_split(both, -(-len(both) // CHUNK)):
-                    # windows that don't agree in the rest of their embeddings either are let go
-                    here = self.plan.walk(data, starts[part[:, 0]], w, self.plan.steps[c])
-                    near = (here == self.copies[w, c][:, part[:, 1]]).mean(axis=0) >= HAMMING
-                    for i, k in part[near]:
-                        item, s = map(int, self.own[c][k])
-                        at = int(starts[i])
-                        d = int(np.searchsorted(base, at, "right")) - 1
-                        begin = at - int(base[d]) - s
-                        if (d, item, begin) not in tried:
-                            tried.add((d, item, begin))
-                            self.verify(found[d], folded[d], item, begin)
+            for stride, classes in self.classes.items():
+                starts = words[number % stride == 0]
+                for lo in range(0, len(starts), HELD):
+                    self.near(found, folded, data, base, starts[lo:lo + HELD], stride, classes, tried)
         return [[{"item_id": self.items[k][0], "edits": e, "ends_at": at} for k, (e, at) in sorted(f.items())] for f in found]
 
+    def exact(self, found: list[dict], folded: list[bytes], data: np.ndarray, base: np.ndarray) -> None:
+        """Adds the items that the texts hold without an edit, at whatever byte."""
+        for lo in range(0, int(base[-1]), HELD):
+            part = data[lo:lo + HELD + SHORTEST - 1]
+            for i in (np.flatnonzero(self.head_bits[heads(part) >> self.head_shift]) + lo).tolist():
+                own = self.heads.get(data[i:i + SHORTEST].tobytes())
+                if own:
+                    d = int(np.searchsorted(base, i, "right")) - 1
+                    at = i - int(base[d])
+                    for k in own:
+                        if k not in found[d] and folded[d].startswith(self.items[k][1], at):
+                            found[d][k] = (0, at + len(self.items[k][1]))
+
+    def near(self, found: list[dict], folded: list[bytes], data: np.ndarray, base: np.ndarray, starts: np.ndarray, stride: int, classes: tuple[int, ...], tried: set) -> None:
+        """Adds the items that windows at ``starts`` meet by a key and that are within reach."""
+        met: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
+        for (w, c, r), keys in self.plan.keys(data, starts, classes, self.repeated(stride)).items():
+            table, order, bits = self.tables[stride, w, c, r]
+            some = np.flatnonzero(bits[self.bucket(keys)])
+            lo, hi = np.searchsorted(table, keys[some], "left"), np.searchsorted(table, keys[some], "right")
+            n = hi - lo
+            if n.sum():
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                met[w, c].append(np.column_stack([np.repeat(some, n), order[np.repeat(lo, n) + inner]]))
+        for (w, c), pairs in met.items():
+            both = np.unique(np.concatenate(pairs), axis=0)
+            for part in np.array_split(both, -(-len(both) // CHUNK)):
+                # windows that don't agree in the rest of their embeddings either are let go
+                here = self.plan.walk(data, starts[part[:, 0]], w, self.plan.steps[c])
+                near = (here == self.copies[stride, w, c][:, part[:, 1]]).mean(axis=0) >= HAMMING
+                for i, k in part[near]:
+                    item, s = map(int, self.own[stride, c][k])
+                    at = int(starts[i])
+                    d = int(np.searchsorted(base, at, "right")) - 1
+                    begin = at - int(base[d]) - s
+                    if (d, item, begin) not in tried:
+                        tried.add((d, item, begin))
+                        if found[d].get(item, (1,))[0]:  # nothing is nearer than an exact copy
+                            self.verify(found[d], folded[d], item, begin)
+
     def verify(self, found: dict, text: bytes, k: int, begin: int) -> None:
         item = self.items[k][1]
         most = int(len(item) * EDITS)
