@@ -40,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: its least doc_id, and of repeated rows of that one too."""
-    joined = ngram_join.join(docs, k=5, percent=80)
+    joined = ngram_join.join(docs, k=5, percent=80, links=False)
     # one row a component stays; those without n-grams, or without an id, stay all
     losers = joined.where(F.col("doc_id").isNotNull() & F.col("component").isNotNull() & (F.col("doc_id") != F.col("component"))).select("doc_id").distinct()
     kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)

@@ -70,6 +70,30 @@ def test_blocks_of_large_clusters_lose_no_link(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
 
 
+def brute_links(rows, k, percent):
+    s = [sets(t, k) for _, t in rows]
+    return {rows[i][0]: sum(1 for j in range(len(rows)) if i != j and s[i] and s[j] and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize(("seed", "k", "percent", "block"), [(1, 4, 85, None), (2, 5, 80, None), (3, 2, 60, 300)])
+def test_numbers_of_links_against_brute_force(spark, monkeypatch, seed, k, percent, block):
+    if block:
+        monkeypatch.setattr(N.counted_links, "__defaults__", (block,))
+    rows = corpus(seed)
+    rows += [(1000 + i, None if i % 3 == 0 else t) for i, (_, t) in enumerate(rows[:40])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = N.join(df, k=k, percent=percent).collect()
+    want = brute_links(rows, k, percent)
+    assert max(want.values()) > 1 and {r["doc_id"]: r["n_links"] for r in got} == want
+    assert {r["doc_id"]: r["component"] for r in got if r["n_grams"]} == {d: c for d, c in brute(rows, k, percent).items() if dict(rows)[d]}
+
+
+def test_odd_rows_have_links(spark):
+    rows = [(1, None), (2, ""), (4, "one two"), (5, "one two"), (5, "one two"), (None, "ONE two"), (7, "alone here")]
+    got = N.join(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
+    assert sorted((r["doc_id"] or 0, r["n_links"]) for r in got) == [(0, 3), (1, 0), (2, 0), (4, 3), (5, 3), (5, 3), (7, 0)]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{k % 977}" for k in range(60_000))
     rows = [(1, None, "en", "c"), (2, "", "en", "c"), (3, " \n\t", "en", "c"), (4, "One two", None, None), (5, "one TWO", None, None), (5, "one TWO", None, None), (6, long, None, None), (7, long, None, None), (None, "one two", None, None), (None, None, None, None), (9, "É a b c d", None, None), (10, "é a b c d", None, None)]

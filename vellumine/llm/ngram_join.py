@@ -10,16 +10,19 @@ the counts are summed per document and per pair:
 2. What is left is ordered by how many sets hold an n-gram. Two sets that link share one of the first
    n - ceil(t * n) + 1 n-grams of each in that order, so components over those are clusters
    that no link leaves.
-3. A cluster is searched in breadth: a set's overlaps with the sets not yet reached are counted from
-   rare fragments to frequent ones, stopping once no sum can reach the threshold; every count is exact.
-   Only sets not reached yet are compared, so a group of like sets costs about its size, and
-   the links given are a star, never all pairs. Large clusters are split into blocks, and every pair of
-   blocks is searched.
+3. In a cluster a set's overlaps with the others are counted from rare fragments to frequent ones,
+   stopping once no sum can reach the threshold; every count is exact. Every linking pair of classes is
+   counted once, but what leaves the task is a row a set: its links, and a set of its component. Where only
+   components are asked for (``links=False``), a cluster is searched in breadth and only sets not reached
+   yet are compared, so a group of like sets costs about its size. Large clusters are split into
+   blocks, and every pair of blocks is searched.
 
-Copies (equal sets) are one class throughout. Every sum is over whole texts.
+Copies (equal sets) are one class throughout; a document's number of links is that of the other
+documents whose sets reach the threshold with its own, so a class counts by its copies, and its own
+copies but one count too. Every sum is over whole texts.
 
 Edge cases: a null or empty text, or one without words, has no n-grams and is alone in its
-component; fewer words than n give one n-gram; a null doc_id can link but is never a component's
+component, with no link; fewer words than n give one n-gram; a null doc_id can link but is never a component's
 id unless nothing else is there; repeated rows are copies of each other; an empty table gives no
 rows; other columns are ignored.
 """
@@ -46,6 +49,9 @@ SEVERAL = 65_535
 FEW = 1_000_000
 #: N-grams in a block of a large cluster.
 BLOCK = 6_000_000
+#: Sets times n-grams that a task compares, above which a cluster is spread over the pairs of up to SPREAD blocks.
+WORK = 50_000_000
+SPREAD = 6
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -397,8 +403,73 @@ def links_of(sets: DataFrame, clusters: DataFrame, percent: int, block: int = BL
     return dealt.groupBy("cluster", "pair").applyInArrow(solve, "a binary, b binary")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(row, doc_id, n_grams, component): one row a document, component its class's least doc_id."""
+def count_links(keys: list[bytes], sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray, cross: bool, percent: int, parts: int = 4) -> list[tuple[bytes, bytes, int]]:
+    """Of all links of these sets (``cross``: of those between sides) what each set has: (a set, one of its component, copies it links with)."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, inverse, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    use = held[inverse] > 1
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[use], minlength=m))])
+    rank = np.argsort(np.argsort(held, kind="stable"), kind="stable")  # rare n-grams first
+    own, owner = rank[inverse[use]], owner[use]
+    own = own[np.lexsort((own, owner))]
+    lists = owner[np.argsort(own, kind="stable")]  # of each n-gram the sets that hold it, in order
+    ends = np.cumsum(np.bincount(own, minlength=len(held)))
+    at = np.concatenate([[0], ends[:-1]])
+    label, links = np.arange(m), np.zeros(m, np.int64)
+    for d in range(m):
+        grams = own[bounds[d]:bounds[d + 1]]
+        at[grams] += 1  # lists go on behind this set: a pair is met once
+        possible = (sizes * 100 >= percent * sizes[d]) & (sizes[d] * 100 >= percent * sizes)
+        possible[:d + 1] = False
+        if cross:
+            possible &= sides != sides[d]
+        shared = np.zeros(m, np.int64)
+        need = -(-percent * (sizes[d] + sizes) // (100 + percent))
+        left = len(grams)
+        for part in np.array_split(grams, parts):
+            if not len(part) or not possible.any():
+                continue
+            n = ends[part] - at[part]
+            index = np.repeat(at[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared += np.bincount(lists[index], minlength=m)
+            left -= len(part)
+            possible &= shared + left >= need
+        near = np.flatnonzero(possible & linked(shared, sizes[d], sizes, percent))
+        if len(near):
+            links[d] += copies[near].sum()
+            links[near] += copies[d]
+            if (label[near] != label[d]).any():
+                joined = np.union1d(label[near], label[d])
+                label[np.isin(label, joined)] = joined[0]
+    return [(keys[i], keys[label[i]], int(links[i])) for i in np.flatnonzero(links)]
+
+
+def counted_links(sets: DataFrame, clusters: DataFrame, copies: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, links): for each set and each pair of blocks that gives it links, one set of its component and the copies it links with."""
+    placed = sets.join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key").join(copies.select("key", "copies"), "key")
+    spread = F.least(F.sqrt(2.0 * F.count(F.lit(1)) * F.sum("n") / F.lit(WORK)), F.lit(float(SPREAD)))
+    large = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block), spread)).cast("int").alias("blocks"))
+    dealt = placed.join(large, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    dealt = dealt.select("cluster", "key", "grams", "own", "copies", F.explode(pairs).alias("pair"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        pair = table.column("pair")[0].as_py()
+        # rows that repeat an id give a set twice: here it is one
+        held = {key: rest for key, *rest in zip(*(table.column(c).to_pylist() for c in ("key", "grams", "own", "copies")), strict=True)}
+        keys = sorted(held)
+        grams = [np.frombuffer(held[k][0], np.uint64) for k in keys]
+        found = count_links(keys, grams, np.array([held[k][1] for k in keys]), np.array([held[k][2] for k in keys], np.int64), pair["i"] != pair["j"], percent)
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary()), "links": pa.array([f[2] for f in found], pa.int64())})
+
+    return dealt.groupBy("cluster", "pair").applyInArrow(solve, "a binary, b binary, links long")
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
+    """(row, doc_id, n_grams, component, n_links): one row a document, component its class's least doc_id, n_links
+    the number of other documents that it links with (left out without ``links``)."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * narrow.rdd.getNumPartitions())
@@ -408,15 +479,24 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     postings = cut(prefix_postings(sets, percent, fragments))
     least = postings.groupBy("gram").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     clusters = components(postings.join(least, "gram").select(F.col("key").alias("a"), "b"))
-    found = components(links_of(sets, clusters, percent))
     own = rows.where("fragment = -1").select("id", "row", "n", "key")
-    classes = own.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"))
-    rooted = classes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", "component")
-    return own.join(named, "key", "left").select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_grams"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    classes = own.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    if links:
+        classes = cut(classes)
+        pairs = cut(counted_links(sets, clusters, classes, percent))
+    else:
+        pairs = links_of(sets, clusters, percent)
+    found = components(pairs.select("a", "b"))
+    rooted = classes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", "component", "copies")
+    columns = [F.col("row"), F.col("id").alias("doc_id"), F.col("n").alias("n_grams"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")]
+    if links:
+        named = named.join(pairs.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links")), "key", "left")
+        columns.append(F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
+    return own.join(named, "key", "left").select(*columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    """Components of documents whose sets of word 4-grams have a Jaccard similarity of at least 0.85."""
+    """Links of documents whose sets of word 4-grams have a Jaccard similarity of at least 0.85: their components, and how many each has."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return join(docs, k=4, percent=85).select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
+    return join(docs, k=4, percent=85).select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
