@@ -90,6 +90,43 @@ def test_automaton_against_brute_force():
             assert (found[1], found[0]) == (min(best)[0], min(best)[2]), w
 
 
+def test_whole_automaton_against_brute_force():
+    terms = {"idiot": (5.0, False), "moron": (4.0, False), "scum": (3.0, False), "disgusting": (6.0, False), "lowei": (5.0, True)}
+    lexicon = toxicity.Lexicon(terms, whole=True)
+    random.seed(6)
+    words = {"xidiot", "oron", "kidiot", "diot", "widiot", "isgusting", "xxdisgusting", "owei", "xloweixyz"}
+    for t in terms:
+        for _ in range(200):
+            w = list(t)
+            for _ in range(random.randint(1, 3)):
+                p, c = random.choice([0, random.randrange(len(w))]), random.choice("abcdeimnorstuw")
+                [lambda: w.insert(p, c), lambda: w.pop(p) if len(w) > 1 else None, lambda: w.__setitem__(p, c)][random.randrange(3)]()
+            words.add("".join(w))
+    for w in words:
+        best = []
+        for t, (weight, stem) in terms.items():
+            d = min(within(w[:e], t) for e in (range(len(w) + 1) if stem else [len(w)]))
+            if d <= toxicity.allowed(t):
+                best.append((d, -weight, t))
+        found = lexicon.match(w)
+        assert (found is None) == (not best), w
+        if best:
+            assert (found[1], found[0]) == (min(best)[0], min(best)[2]), w
+
+
+def test_misspelled_first_letters_and_signs_at_edges():
+    matcher = toxicity.Matcher(toxicity.Lexicon({"stupid": (5.0, False), "idiot": (5.0, False), "moron": (4.0, False), "scum": (3.0, False)}, whole=True))
+    for piece, term in {"$tupid": "stupid", "!diot": "idiot", "1diot!!": "idiot", '"$tup1d",': "stupid", "oron": "moron", "xidiot": "idiot", "kidiot": "idiot", "idiot!": "idiot", "(moron)": "moron", '$cum!"': "scum", "@scum": "scum", "|scum|": "scum"}.items():
+        assert matcher[piece][0] == term, piece
+    assert matcher["$tupid"][1] == matcher["!diot"][1] == matcher["idiot!!!"][1] == matcher['idiot!"'][1] == 0 and matcher["100"] is None
+
+
+def test_quotation_is_counted_over_the_whole_text():
+    far = ['"so'] + ["and"] * 60 + ["idiot", "end"]
+    assert toxicity.context(far, 61) == toxicity.QUOTED and toxicity.context(['"so"'] + far[1:], 61) == 1.0
+    assert toxicity.marks_before(far, [0, 5, 61]) == [0, 1, 1]
+
+
 def test_context_lowers_quotation():
     words = 'he said the word "idiot" to them'.split()
     assert toxicity.context(words, words.index('"idiot"')) < toxicity.context("you idiot go away".split(), 1)

@@ -4,7 +4,7 @@ Learning finds terms (whole words, or stems that begin words) that toxic documen
 often than others, puts them in a trie, and fits a logistic regression on what hits add up to.
 Matching runs the intersection of the trie with the automaton of its terms' misspellings: states
 are sets of (trie node, errors), determinised as words ask for them, so a word costs one look-up a
-letter and most die within a few letters. Each hit counts by its context window: a term inside
+letter and most die within a few letters. Any letter may be wrong, the first too. Each hit counts by its context window: a term inside
 quotation marks or beside words of reporting counts less than one said to somebody.
 
 Edge cases: null and empty texts have no hits and the score of no hits; without labels of both
@@ -45,12 +45,16 @@ ADDRESS = frozenset("you your yours u ur you're tu toi vous du dich dein ihr tú
 LEET = str.maketrans("013457@$!|", "oieastasil")
 QUOTES = '"“”„«»'
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_CLOSING = re.compile(r"(?:[^\w$@]|_)+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def normal(piece: str) -> str:
     """A word as the trie spells it: lower case, bare at its edges, digits and signs inside as the letters they stand for."""
-    bare = _EDGE.sub("", piece.lower())
+    return spelled(_EDGE.sub("", piece.lower()))
+
+
+def spelled(bare: str) -> str:
     if bare.isalpha():
         return bare
     if not any(c.isalpha() for c in bare):
@@ -58,6 +62,11 @@ def normal(piece: str) -> str:
     return "".join(c for c in bare.translate(LEET) if c.isalpha())
 
 
+def readings(piece: str) -> set[str]:
+    """The word bare at its edges, and with the signs at its edges as letters too (behind it, those that aren't punctuation)."""
+    return {normal(piece), spelled(_CLOSING.sub("", piece.lower()))}
+
+
 def allowed(term: str) -> int:
     """Errors that a misspelling of this term may have."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -66,13 +75,13 @@ def allowed(term: str) -> int:
 class Lexicon:
     """Terms {term: (weight, is_stem)} in a trie, and the lazily determinised automaton over it.
 
-    ``strict`` terms are met only as they are spelled.
+    ``strict`` terms are met only as they are spelled. Errors may be at a term's first letter too if ``whole``.
     """
 
     MOST_STATES = 50_000
 
-    def __init__(self, terms: dict[str, tuple[float, bool]], strict: frozenset[str] = frozenset()) -> None:
-        self.terms = terms
+    def __init__(self, terms: dict[str, tuple[float, bool]], strict: frozenset[str] = frozenset(), whole: bool = False) -> None:
+        self.terms, self.whole = terms, whole
         self.allowed = {t: 0 if t in strict else allowed(t) for t in terms}
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
@@ -106,7 +115,7 @@ class Lexicon:
             if e > self.most[node] or best.get(node, 9) <= e:
                 continue
             best[node] = e
-            if e < self.most[node] and node:
+            if e < self.most[node] and (node or self.whole):
                 todo += [(c, e + 1) for c in self.children[node].values()]
         return frozenset(best.items())
 
@@ -119,7 +128,7 @@ class Lexicon:
             child = self.children[node].get(c)
             if child is not None:
                 to.add((child, e))
-            if e < self.most[node] and node:  # a misspelling keeps the first letter
+            if e < self.most[node] and (node or self.whole):
                 to.add((node, e + 1))
                 to |= {(x, e + 1) for x in self.children[node].values()}
         made = self.closed(to)
@@ -162,16 +171,29 @@ class Matcher(dict):
     def __missing__(self, piece: str):
         if len(self) > self.MOST:
             self.clear()
-        word = normal(piece)
-        hit = self.lexicon.match(word) if len(word) > 2 else None
+        terms = self.lexicon.terms
+        met = [hit for word in readings(piece) if len(word) > 2 and (hit := self.lexicon.match(word)) is not None]
+        hit = min(met, key=lambda h: (h[1], -terms[h[0]][0], h[0]), default=None)
         self[piece] = hit
         return hit
 
 
-def context(words: list[str], at: int) -> float:
-    """The weight that the window about a hit gives it."""
+def marks_before(words: list[str], at: list[int]) -> list[int]:
+    """Quotation marks in all words before each of these places (in order)."""
+    out, marks, begin = [], 0, 0
+    for end in at:
+        run = " ".join(words[begin:end])
+        marks += sum(map(run.count, QUOTES))
+        out.append(marks)
+        begin = end
+    return out
+
+
+def context(words: list[str], at: int, marks: int | None = None) -> float:
+    """The weight that the window about a hit gives it, with so many quotation marks before it in the text."""
     weight = 1.0
-    marks = sum(w.count(q) for w in words[max(0, at - 40):at] for q in QUOTES)
+    if marks is None:
+        (marks,) = marks_before(words, [at])
     own = words[at]
     if (own[0] in QUOTES and own.rstrip(".,;:!?")[-1] in QUOTES and len(own) > 1) or marks % 2 or (own[0] in QUOTES and any(q in w for w in words[at + 1:at + 12] for q in QUOTES)):
         weight *= QUOTED
@@ -192,7 +214,8 @@ def features(text: str | None, matcher: Matcher) -> tuple[float, float, float, f
     if not hits:
         return 0.0, 0.0, 0.0, 0.0
     terms = matcher.lexicon.terms
-    weights = [context(words, i) * SPELLED[e] * terms[t][0] for i, (t, e) in hits]
+    marks = marks_before(words, [i for i, _ in hits])
+    weights = [context(words, i, n) * SPELLED[e] * terms[t][0] for (i, (t, e)), n in zip(hits, marks, strict=True)]
     return max(weights), sum(weights), float(len({t for _, (t, _) in hits})), 100.0 * len(hits) / len(words)
 
 
@@ -305,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     terms = chosen({(r["term"], r["stem"]): (r["a"], r["b"]) for r in kept if r["term"]}, whole["a"], whole["b"])
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, seen = Matcher(Lexicon(terms)), Counter()
+        matcher, seen = Matcher(Lexicon(terms, whole=True)), Counter()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 for y, whole in zip(piece.column("y").to_pylist(), piece.column("text").to_pylist(), strict=True):
@@ -317,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     strict = frozenset(r["term"] for r in near if r["b"] and math.log((r["a"] + 0.5) / (whole["a"] + 1)) - math.log((r["b"] + 0.5) / (whole["b"] + 1)) < LEAST_ODDS)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(Lexicon(terms, strict))
+        matcher = Matcher(Lexicon(terms, strict, whole=True))
         for batch in batches:
             for piece in pieces(batch, "text"):
                 made = [features(t, matcher) for t in piece.column("text").to_pylist()]
@@ -341,7 +364,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     terms, strict, weights, known = model.terms, model.strict, model.weights, model.toxic_known
 
     def make() -> Callable[[list], list[list]]:
-        matcher = Matcher(Lexicon(terms, strict))
+        matcher = Matcher(Lexicon(terms, strict, whole=True))
 
         def run(texts: list) -> list[list]:
             made = [features(t, matcher) for t in texts]
