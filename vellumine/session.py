@@ -1,10 +1,12 @@
-"""Session helpers shared by the operators: cutting lineage and shipping the package."""
+"""Session helpers shared by the operators: cutting lineage, scratch folders and shipping the package."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -16,18 +18,40 @@ ROOT = Path(__file__).resolve().parent.parent
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Clusters name it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    is a local folder chosen, where one machine holds driver and executors.
+    Clusters name it in ``spark.checkpoint.dir``; without that a cluster is refused, as a local
+    folder of one machine would lose rows. Only where one machine holds driver and executors
+    (tests, a laptop) is a folder chosen.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellumine-"))
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumine-"))
         held = sc._jsc.sc().getCheckpointDir()
-    return held.get()
+    return named or held.get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever store Spark reads it from."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder in the shared one, removed when the driver's Python ends: results that read it are lazy until then."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+    def tidy() -> None:
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may be gone: the folder then stays, as after a crash
+            return
+
+    atexit.register(tidy)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
