@@ -7,6 +7,7 @@ import pytest
 
 from vellumine.llm import ngram_join as N
 from vellumine.llm.components import components
+from vellumine.llm.skew import join_hot
 
 DOCS = "doc_id long, text string, lang string, n_grams string"
 
@@ -59,26 +60,16 @@ def test_components_against_brute_force(spark, seed, k, percent):
     assert got == brute(rows, k, percent)
 
 
-def test_blocks_of_large_clusters_lose_no_link(spark):
-    rows = corpus(4, 120)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    narrow = df.selectExpr("doc_id AS id", "text")
-    kept = N.survivors(N.fragment_rows(narrow, 4, 6, N.probed(85)), 85)
-    held = N.sets_of(narrow, kept, 4).cache()
-    one = held.selectExpr("key AS node", "X'00' AS root")
-    whole, cut = (components(N.links_of(held, one, 85, block)) for block in (10**9, 400))
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
-
-
 def brute_links(rows, k, percent):
     s = [sets(t, k) for _, t in rows]
     return {rows[i][0]: sum(1 for j in range(len(rows)) if i != j and s[i] and s[j] and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize(("seed", "k", "percent", "block"), [(1, 4, 85, None), (2, 5, 80, None), (3, 2, 60, 300)])
+@pytest.mark.parametrize(("seed", "k", "percent", "block"), [(1, 4, 85, None), (2, 5, 80, None), (3, 2, 60, 300), (4, 4, 85, 100)])
 def test_numbers_of_links_against_brute_force(spark, monkeypatch, seed, k, percent, block):
     if block:
-        monkeypatch.setattr(N.counted_links, "__defaults__", (block,))
+        monkeypatch.setattr(N.links_of, "__defaults__", (block,))
+        monkeypatch.setattr(N, "PAIRS", 50)
     rows = corpus(seed)
     rows += [(1000 + i, None if i % 3 == 0 else t) for i, (_, t) in enumerate(rows[:40])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -88,6 +79,43 @@ def test_numbers_of_links_against_brute_force(spark, monkeypatch, seed, k, perce
     assert {r["doc_id"]: r["component"] for r in got if r["n_grams"]} == {d: c for d, c in brute(rows, k, percent).items() if dict(rows)[d]}
 
 
+@pytest.mark.parametrize("fragments", [1, 2, 5])
+def test_partial_overlaps_against_brute_force(fragments):
+    rng = np.random.default_rng(fragments)
+    core = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = []
+    for n in range(60):
+        own = core[rng.random(len(core)) < (0.95 if n % 3 else 0.4)]
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])) << np.uint64(1))
+    sizes = np.array([len(s) for s in sets])
+    edges = np.array([(j << 64) // fragments for j in range(1, fragments)], np.uint64)
+    cuts = [np.split(s, np.searchsorted(s, edges)) for s in sets]
+    for percent in (60, 85):
+        links = N.Links(sizes, np.ones(60, np.int64), percent)
+        firsts = list(range(60))
+        blobs = []
+        for f in range(fragments):
+            part = N.Fragment([c[f] for c in cuts], sizes, percent)
+            blobs.append(N.packed([part.after(i) for i in firsts], firsts, 60))
+        for i, *parts in zip(firsts, *[N.unpacked(b, firsts, 60) for b in blobs], strict=True):
+            overlap = np.zeros(60, np.int64)
+            for where, n in parts:
+                overlap[where] += n
+            links.add(i, np.flatnonzero(overlap), overlap[overlap > 0])
+        want = [sum(1 for j in range(60) if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))) for i in firsts]
+        assert links.links.tolist() == want and max(want) > 5
+
+
+def test_hot_keys_are_joined_apart(spark):
+    left = spark.createDataFrame([(k % 3, k) for k in range(30)] + [(7, 100), (None, 101)], "k int, v int")
+    right = spark.createDataFrame([(0, 10, "a"), (1, 10, "b"), (7, 1, "c")], "k int, n int, w string")
+    for hot in (0, 5, 100):
+        inner = sorted((r["k"], r["v"], r["w"]) for r in join_hot(left, right, "k", "n", hot=hot).collect())
+        outer = {r["v"]: r["w"] for r in join_hot(left, right, "k", "n", "left", hot=hot).collect()}
+        assert len(inner) == 21 and (7, 100, "c") in inner
+        assert len(outer) == 32 and outer[2] is None and outer[101] is None and outer[100] == "c" and outer[0] == "a"
+
+
 def test_odd_rows_have_links(spark):
     rows = [(1, None), (2, ""), (4, "one two"), (5, "one two"), (5, "one two"), (None, "ONE two"), (7, "alone here")]
     got = N.join(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
@@ -115,3 +143,15 @@ def test_long_paths(spark):
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**{k: 0 for k in range(201)}, 1000: 1000, 1001: 1000}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_rounds_that_do_not_settle_raise(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(edges, most=2)
+
+
+def test_hub_is_the_greatest_node(spark, monkeypatch):
+    monkeypatch.setattr("vellumine.llm.skew.HOT", 20)
+    edges = spark.createDataFrame([(k, 999) for k in range(100)], "a long, b long")
+    assert {r["root"] for r in components(edges).collect()} == {0}

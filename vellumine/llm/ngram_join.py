@@ -10,16 +10,21 @@ the counts are summed per document and per pair:
 2. What is left is ordered by how many sets hold an n-gram. Two sets that link share one of the first
    n - ceil(t * n) + 1 n-grams of each in that order, so components over those are clusters
    that no link leaves.
-3. In a cluster a set's overlaps with the others are counted from rare fragments to frequent ones,
-   stopping once no sum can reach the threshold; every count is exact. Every linking pair of classes is
-   counted once, but what leaves the task is a row a set: its links, and a set of its component. Where only
-   components are asked for (``links=False``), a cluster is searched in breadth and only sets not reached
-   yet are compared, so a group of like sets costs about its size. Large clusters are split into
-   blocks, and every pair of blocks is searched.
+3. Within a cluster the order (here that of the hashes) is cut into fragments, and sets into their segments.
+   A task holds one fragment of a cluster and counts the partial overlaps of all its pairs; a pair whose
+   partial overlap, and the most that the other fragments could add, fall short is let go. Partial counts are packed,
+   a row of bytes for a fragment and a block of sets, and summed per pair in the task of that block, where
+   the threshold decides. No set is copied, whatever a cluster's size; clusters that fit in one task have one
+   fragment, and many of them share a task.
+
+A fragment's n-grams that more than half of a cluster's sets hold are counted by the sets that miss them, so a
+group of like sets costs little more than its pairs. What leaves step 3 is a row a set and block, never a
+row a pair: the number of its links, and a set of its component.
 
 Copies (equal sets) are one class throughout; a document's number of links is that of the other
 documents whose sets reach the threshold with its own, so a class counts by its copies, and its own
-copies but one count too. Every sum is over whole texts.
+copies but one count too. Every sum is over whole texts. Keys that hold a large part of the rows
+(n-grams, nodes, classes, components) are joined apart, by broadcast.
 
 Edge cases: a null or empty text, or one without words, has no n-grams and is alone in its
 component, with no link; fewer words than n give one n-gram; a null doc_id can link but is never a component's
@@ -29,6 +34,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,18 +46,18 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.columns import pieces
 from vellumine.llm.components import components
+from vellumine.llm.skew import join_hot, small
 from vellumine.session import cut
 
 #: Bytes of text, or of n-grams, that a task combines; classes in a chunk (numbered in 16 bits; SEVERAL isn't one).
 COMBINED = 16 << 20
 SEVERAL = 65_535
-#: Rows up to which what is kept is broadcast to the texts (8 bytes a row); beyond, both are shuffled.
-FEW = 1_000_000
-#: N-grams in a block of a large cluster.
-BLOCK = 6_000_000
-#: Sets times n-grams that a task compares, above which a cluster is spread over the pairs of up to SPREAD blocks.
-WORK = 50_000_000
-SPREAD = 6
+#: N-grams in a fragment of a cluster, and in the clusters that share a task.
+BLOCK = 2_000_000
+#: Sets times n-grams that a task compares, above which a cluster has more fragments, up to SPREAD for that reason.
+WORK, SPREAD = 50_000_000, 6
+#: Pairs in a block of sets and the others; blocks of a cluster at most. Partners that are gathered at once.
+PAIRS, BLOCKS, GATHERED = 8_000_000, 64, 2_000_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -130,7 +136,12 @@ def linked(shared, n, m, percent: int):
     return 100 * shared >= percent * (n + m - shared)
 
 
-ROWS = "chunk long, fragment int, id long, row long, n long, key binary, grams binary, owners binary"
+ROWS = "chunk long, fragment int, id long, row long, tag binary, n long, key binary, grams binary, owners binary"
+
+
+def row_of():
+    """By what a set's text is found again: rows that agree in it have equal texts (or are hashed alike, which costs a set)."""
+    return F.xxhash64("id", "text")
 
 
 def fragment_rows(docs: DataFrame, k: int, fragments: int, share: float) -> DataFrame:
@@ -144,9 +155,9 @@ def fragment_rows(docs: DataFrame, k: int, fragments: int, share: float) -> Data
         limit = np.uint64(int(share * (1 << 24)))
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["chunk", "fragment", "id", "row", "n", "key", "grams", "owners"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["chunk", "fragment", "id", "row", "tag", "n", "key", "grams", "owners"])
             rows.clear()
             return out
 
@@ -157,7 +168,7 @@ def fragment_rows(docs: DataFrame, k: int, fragments: int, share: float) -> Data
             chunk = xxhash.xxh3_64_intdigest(b"".join(keys)) - (1 << 63)
             sizes = np.array([len(classes[c][1]) for c in keys], np.int32)
             ids = np.array([classes[c][0] for c in keys], np.int64)
-            rows.append((chunk, -2, None, None, None, b"".join(keys), sizes.tobytes(), ids.tobytes()))
+            rows.append((chunk, -2, None, None, None, None, b"".join(keys), sizes.tobytes(), ids.tobytes()))
             some = [g[: np.searchsorted(g, limit << np.uint64(40))] for _, g, _ in classes.values()]
             owners = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in some])
             grams = np.concatenate(some)
@@ -170,18 +181,18 @@ def fragment_rows(docs: DataFrame, k: int, fragments: int, share: float) -> Data
             fragment = ((grams >> np.uint64(40)) * np.uint64(fragments) // limit).astype(np.int64)
             for f in np.unique(fragment):
                 lo, hi = np.searchsorted(fragment, [f, f + 1])
-                rows.append((chunk, int(f), None, None, None, None, grams[lo:hi].astype(np.uint32).tobytes(), owners[lo:hi].tobytes()))
+                rows.append((chunk, int(f), None, None, None, None, None, grams[lo:hi].astype(np.uint32).tobytes(), owners[lo:hi].tobytes()))
             classes.clear()
             state["bytes"] = 0
 
         for b in batches:
             for piece in pieces(b, "text"):
                 texts = piece.column("text").to_pylist()
-                for own, row, grams, text in zip(piece.column("id").to_pylist(), piece.column("row").to_pylist(), gram_sets(texts, k), texts, strict=True):
+                for own, row, tag, grams, text in zip(piece.column("id").to_pylist(), piece.column("row").to_pylist(), piece.column("tag").to_pylist(), gram_sets(texts, k), texts, strict=True):
                     key = key_of(grams)
                     if len(classes) >= SEVERAL:
                         close()
-                    rows.append((0, -1, own, row, len(grams), key, None, None))
+                    rows.append((0, -1, own, row, tag, len(grams), key, None, None))
                     if key is not None and key not in classes:
                         classes[key] = (row, grams, len(grams))
                     state["bytes"] += len(text or "")
@@ -192,9 +203,7 @@ def fragment_rows(docs: DataFrame, k: int, fragments: int, share: float) -> Data
         close()
         yield batch()
 
-    # an id of the row for joins: its doc_id, or a hash of its text where that is null
-    row = F.coalesce(F.col("id"), F.xxhash64("text"))
-    return docs.select("id", row.alias("row"), "text").mapInArrow(run, ROWS)
+    return docs.select("id", row_of().alias("row"), "tag", "text").mapInArrow(run, ROWS)
 
 
 def lone_grams(rows: DataFrame) -> DataFrame:
@@ -247,19 +256,22 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, kept: DataFrame, k: int) -> DataFrame:
-    """(key, n, grams) of the classes kept: their texts are joined back and cut again."""
+    """(key, n, grams), cut, of the classes kept, once each: their texts are joined back and cut again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             for piece in pieces(b, "text"):
-                sets = [s for s in gram_sets(piece.column("text").to_pylist(), k) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "n", "grams"])
+                sets = [(key_of(s), s) for s in gram_sets(piece.column("text").to_pylist(), k) if len(s)]
+                new = [(key, s) for key, s in dict(sets).items() if key not in seen]
+                seen.update(key for key, _ in new)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.binary()), pa.array([len(x[1]) for x in new], pa.int64()), pa.array([x[1].tobytes() for x in new], pa.binary())], names=["key", "n", "grams"])
 
-    wanted = kept.select("row")
-    wanted = F.broadcast(wanted) if kept.count() <= FEW else wanted
-    texts = docs.select(F.coalesce(F.col("id"), F.xxhash64("text")).alias("row"), "text").join(wanted, "row", "left_semi")
-    # rows that repeat an id give a set twice: it is then counted twice, which prunes less, and linked with itself
-    return texts.select("text").mapInArrow(run, "key binary, n long, grams binary")
+    texts = docs.select(row_of().alias("row"), "text").join(small(kept.select("row")), "row", "left_semi")
+    sets = cut(texts.select("text").mapInArrow(run, "key binary, n long, grams binary"))
+    # rows that repeat id and text in several tasks give a set again
+    n = sets.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys")).first()
+    return sets if n["n"] == n["keys"] else cut(sets.dropDuplicates(["key"]))
 
 
 def prefix_postings(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
@@ -333,167 +345,266 @@ def prefix_postings(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
     return heads.unionByName(counted.select("chunk", "first", none.alias("key"), none.alias("grams"), "counts")).groupBy("chunk").applyInArrow(prefix, "gram long, key binary")
 
 
-def search(keys: list[bytes], sets: list[np.ndarray], percent: int, parts: int = 4) -> list[tuple[bytes, bytes]]:
-    """Links that span the components of these sets: (a set, the first of its component)."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, inverse, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), sizes)
-    use = held[inverse] > 1
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[use], minlength=m))])
-    own = inverse[use]  # of each set, in turn
-    rank = np.argsort(np.argsort(held, kind="stable"), kind="stable")  # the order of the fragments: rare n-grams first
-    own = rank[own]
-    order = np.lexsort((own, owner[use]))
-    own = own[order]
-
-    def postings(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        who = owner[use][order]
-        some = alive[who]
-        grams, who = own[some], who[some]
-        by = np.argsort(grams, kind="stable")
-        return who[by], np.concatenate([[0], np.cumsum(np.bincount(grams, minlength=len(held)))])
-
-    alive = np.ones(m, bool)
-    lists, at = postings(alive)
-    listed = m
-    links = []
-    for seed in range(m):
-        if not alive[seed]:
-            continue
-        alive[seed] = False
-        queue = [seed]
-        while queue and alive.any():
-            d = queue.pop()
-            grams = own[bounds[d]:bounds[d + 1]]
-            shared = np.zeros(m, np.int64)
-            need = -(-percent * (sizes[d] + sizes) // (100 + percent))
-            possible = alive & (sizes * 100 >= percent * sizes[d]) & (sizes[d] * 100 >= percent * sizes)
-            for part in np.array_split(grams, parts):
-                if not len(part) or not possible.any():
-                    continue
-                lo, n = at[part], at[part + 1] - at[part]
-                index = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                shared += np.bincount(lists[index], minlength=m)
-                rest = len(grams) - (np.searchsorted(grams, part[-1], "right"))
-                possible &= shared + rest >= need
-            near = np.flatnonzero(possible & linked(shared, sizes[d], sizes, percent))
-            alive[near] = False
-            queue += near.tolist()
-            links += [(keys[i], keys[seed]) for i in near]
-            if alive.sum() * 2 < listed:
-                lists, at = postings(alive)
-                listed = int(alive.sum())
-    return links
-
-
-def links_of(sets: DataFrame, clusters: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Spanning links (a, b) of the sets, found within clusters, or within pairs of blocks of large ones."""
-    placed = sets.join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key")
-    large = placed.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = placed.join(large, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    dealt = dealt.select("cluster", "key", "grams", F.explode(pairs).alias("pair"))
+class Lists:
+    """Of numbered things the sets that hold (or miss) them: partners of a set, counted."""
+
+    def __init__(self, things: np.ndarray, owners: np.ndarray, m: int) -> None:
+        """Pairs of thing and set, by set in ascending order."""
+        self.m, self.things = m, things
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=m))])
+        order = np.argsort(things, kind="stable")
+        self.lists = owners[order]
+        self.ends = np.cumsum(np.bincount(things)) if len(things) else np.zeros(0, np.int64)
+        self.place = np.empty(len(things), np.int64)
+        self.place[order] = np.arange(len(things))
+
+    def after(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets behind ``i`` that share things with it, and how many."""
+        at = slice(self.bounds[i], self.bounds[i + 1])
+        lo = self.place[at] + 1
+        n = self.ends[self.things[at]] - lo
+        upto = np.cumsum(n)
+        total = int(upto[-1]) if len(upto) else 0
+        if not total:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if total <= min(GATHERED, self.m // 8):
+            return np.unique(self.lists[np.repeat(lo - upto + n, n) + np.arange(total)], return_counts=True)
+        counts = np.zeros(self.m, np.int64)
+        cuts = np.append(np.unique(np.searchsorted(upto, np.arange(0, total, GATHERED), "left")), len(n))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = n[a:b]
+            some = int(own.sum())
+            counts += np.bincount(self.lists[np.repeat(lo[a:b] - np.cumsum(own) + own, own) + np.arange(some)], minlength=self.m)
+        met = np.flatnonzero(counts)
+        return met, counts[met]
+
+
+def needed(n, m, percent: int):
+    """Overlap from which sets of n and m n-grams link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+class Fragment:
+    """One fragment's segments of a cluster's sets, whose whole sizes are known."""
+
+    def __init__(self, segments: list[np.ndarray], sizes: np.ndarray, percent: int) -> None:
+        m = len(segments)
+        lengths = np.array([len(s) for s in segments], np.int64)
+        self.sizes, self.rest, self.percent, self.m = sizes, sizes - lengths, percent, m
+        _, number, held = np.unique(np.concatenate(segments), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(m), lengths)
+        common = held * 2 > m if m > 16 else np.zeros(len(held), bool)
+        use = (held[number] > 1) & ~common[number]
+        self.shared = Lists(number[use], owner[use], m)
+        # n-grams of more than half of the sets: at most twice as many cells as n-grams
+        self.commons = int(common.sum())
+        if self.commons:
+            lacks = np.ones((m, self.commons), bool)
+            use = common[number]
+            lacks[owner[use], (np.cumsum(common) - 1)[number[use]]] = False
+            self.common_held = self.commons - lacks.sum(axis=1)
+            who, what = np.nonzero(lacks)
+            self.missed = Lists(what, who, m)
+
+    def after(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets behind ``i`` that may link with it, as far as this fragment tells, and their partial overlaps (not 0)."""
+        who, counts = self.shared.after(i)
+        if self.commons:
+            # of c common n-grams, sets that hold a and b of them and both miss x share a + b - c + x
+            whole = self.common_held + (self.common_held[i] - self.commons)
+            lacking, x = self.missed.after(i)
+            whole[lacking] += x
+            whole[who] += counts
+            whole[:i + 1] = 0
+            who = np.flatnonzero(whole)
+            counts = whole[who]
+        n, m = self.sizes[i], self.sizes[who]
+        fits = (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (counts + np.minimum(self.rest[i], self.rest[who]) >= needed(n, m, self.percent))
+        return who[fits], counts[fits]
+
+
+class Links:
+    """What a set's links add up to, and a spanning label, over some of a cluster's pairs."""
+
+    def __init__(self, sizes: np.ndarray, copies: np.ndarray, percent: int) -> None:
+        self.sizes, self.copies, self.percent = sizes, copies, percent
+        self.links, self.label = np.zeros(len(sizes), np.int64), np.arange(len(sizes))
+
+    def add(self, i: int, who: np.ndarray, overlap: np.ndarray) -> None:
+        near = who[linked(overlap, self.sizes[i], self.sizes[who], self.percent)]
+        if not len(near):
+            return
+        self.links[i] += self.copies[near].sum()
+        self.links[near] += self.copies[i]
+        if (self.label[near] != self.label[i]).any():
+            joined = np.union1d(self.label[near], self.label[i])
+            self.label[np.isin(self.label, joined)] = joined[0]
+
+    def rows(self, keys: list[bytes]) -> list[tuple[bytes, bytes, int]]:
+        """(a set, one of its component, documents it links with) of the sets that link."""
+        return [(keys[i], keys[self.label[i]], int(self.links[i])) for i in np.flatnonzero(self.links)]
+
+
+def packed(counts: list[tuple[np.ndarray, np.ndarray]], firsts: list[int], m: int) -> bytes:
+    """Partial counts of sets with those behind each: for each set a dense row of counts or pairs of place and count."""
+    parts = []
+    for i, (who, n) in zip(firsts, counts, strict=True):
+        most = int(n.max()) if len(n) else 0
+        kind = np.dtype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+        dense = len(who) * (4 + kind.itemsize) > (m - i - 1) * kind.itemsize
+        parts.append(np.array([kind.itemsize, dense, len(who)], np.uint32).tobytes())
+        if dense:
+            row = np.zeros(m - i - 1, kind)
+            row[who - i - 1] = n
+            parts.append(row.tobytes())
+        else:
+            parts += [who.astype(np.uint32).tobytes(), n.astype(kind).tobytes()]
+    return zlib.compress(b"".join(parts), 1)
+
+
+def unpacked(data: bytes, firsts: list[int], m: int) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
+    """For each set the places and counts that ``packed`` was given."""
+    raw, at = zlib.decompress(data), 0
+    for i in firsts:
+        size, dense, n = (int(x) for x in np.frombuffer(raw, np.uint32, 3, at))
+        kind = {1: np.uint8, 2: np.uint16, 4: np.uint32}[size]
+        at += 12
+        if dense:
+            yield slice(i + 1, m), np.frombuffer(raw, kind, m - i - 1, at)
+            at += size * (m - i - 1)
+        else:
+            yield np.frombuffer(raw, np.uint32, n, at), np.frombuffer(raw, kind, n, at + 4 * n)
+            at += (4 + size) * n
+
+
+def block_count(m: int) -> int:
+    return min(BLOCKS, max(1, -(-m * m // (2 * PAIRS))))
+
+
+FOUND = "a binary, b binary, links long"
 
-    def solve(table: pa.Table) -> pa.Table:
-        ordered = sorted(zip(table.column("key").to_pylist(), table.column("grams").to_pylist(), strict=True))
-        found = search([k for k, _ in ordered], [np.frombuffer(g, np.uint64) for _, g in ordered], percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
-
-    return dealt.groupBy("cluster", "pair").applyInArrow(solve, "a binary, b binary")
-
-
-def count_links(keys: list[bytes], sets: list[np.ndarray], sides: np.ndarray, copies: np.ndarray, cross: bool, percent: int, parts: int = 4) -> list[tuple[bytes, bytes, int]]:
-    """Of all links of these sets (``cross``: of those between sides) what each set has: (a set, one of its component, copies it links with)."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, inverse, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), sizes)
-    use = held[inverse] > 1
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[use], minlength=m))])
-    rank = np.argsort(np.argsort(held, kind="stable"), kind="stable")  # rare n-grams first
-    own, owner = rank[inverse[use]], owner[use]
-    own = own[np.lexsort((own, owner))]
-    lists = owner[np.argsort(own, kind="stable")]  # of each n-gram the sets that hold it, in order
-    ends = np.cumsum(np.bincount(own, minlength=len(held)))
-    at = np.concatenate([[0], ends[:-1]])
-    label, links = np.arange(m), np.zeros(m, np.int64)
-    for d in range(m):
-        grams = own[bounds[d]:bounds[d + 1]]
-        at[grams] += 1  # lists go on behind this set: a pair is met once
-        possible = (sizes * 100 >= percent * sizes[d]) & (sizes[d] * 100 >= percent * sizes)
-        possible[:d + 1] = False
-        if cross:
-            possible &= sides != sides[d]
-        shared = np.zeros(m, np.int64)
-        need = -(-percent * (sizes[d] + sizes) // (100 + percent))
-        left = len(grams)
-        for part in np.array_split(grams, parts):
-            if not len(part) or not possible.any():
-                continue
-            n = ends[part] - at[part]
-            index = np.repeat(at[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            shared += np.bincount(lists[index], minlength=m)
-            left -= len(part)
-            possible &= shared + left >= need
-        near = np.flatnonzero(possible & linked(shared, sizes[d], sizes, percent))
-        if len(near):
-            links[d] += copies[near].sum()
-            links[near] += copies[d]
-            if (label[near] != label[d]).any():
-                joined = np.union1d(label[near], label[d])
-                label[np.isin(label, joined)] = joined[0]
-    return [(keys[i], keys[label[i]], int(links[i])) for i in np.flatnonzero(links)]
-
-
-def counted_links(sets: DataFrame, clusters: DataFrame, copies: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, links): for each set and each pair of blocks that gives it links, one set of its component and the copies it links with."""
-    placed = sets.join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key").join(copies.select("key", "copies"), "key")
-    spread = F.least(F.sqrt(2.0 * F.count(F.lit(1)) * F.sum("n") / F.lit(WORK)), F.lit(float(SPREAD)))
-    large = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block), spread)).cast("int").alias("blocks"))
-    dealt = placed.join(large, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    dealt = dealt.select("cluster", "key", "grams", "own", "copies", F.explode(pairs).alias("pair"))
+
+def found_table(rows: list[tuple[bytes, bytes, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([r[0] for r in rows], pa.binary()), "b": pa.array([r[1] for r in rows], pa.binary()), "links": pa.array([r[2] for r in rows], pa.int64())})
+
+
+def whole_clusters(placed: DataFrame, percent: int, bins: int) -> DataFrame:
+    """(a, b, links) of clusters that have one fragment; ``bins`` tasks share them."""
 
     def solve(table: pa.Table) -> pa.Table:
-        pair = table.column("pair")[0].as_py()
-        # rows that repeat an id give a set twice: here it is one
-        held = {key: rest for key, *rest in zip(*(table.column(c).to_pylist() for c in ("key", "grams", "own", "copies")), strict=True)}
-        keys = sorted(held)
-        grams = [np.frombuffer(held[k][0], np.uint64) for k in keys]
-        found = count_links(keys, grams, np.array([held[k][1] for k in keys]), np.array([held[k][2] for k in keys], np.int64), pair["i"] != pair["j"], percent)
-        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary()), "links": pa.array([f[2] for f in found], pa.int64())})
+        clusters, keys, grams, copies = (table.column(c).to_pylist() for c in ("cluster", "key", "grams", "copies"))
+        order = sorted(range(len(keys)), key=lambda i: (clusters[i], keys[i]))
+        rows, at = [], 0
+        while at < len(order):
+            end = at
+            while end < len(order) and clusters[order[end]] == clusters[order[at]]:
+                end += 1
+            own = order[at:end]
+            at = end
+            sets = [np.frombuffer(grams[i], np.uint64) for i in own]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            fragment, links = Fragment(sets, sizes, percent), Links(sizes, np.array([copies[i] for i in own], np.int64), percent)
+            for i in range(len(own) - 1):
+                links.add(i, *fragment.after(i))
+            rows += links.rows([keys[i] for i in own])
+        return found_table(rows)
+
+    return placed.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(solve, FOUND)
+
 
-    return dealt.groupBy("cluster", "pair").applyInArrow(solve, "a binary, b binary, links long")
+PARTIAL = "cluster binary, block int, fragment int, counts binary, keys binary, sizes binary, copies binary"
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
-    """(row, doc_id, n_grams, component, n_links): one row a document, component its class's least doc_id, n_links
-    the number of other documents that it links with (left out without ``links``)."""
+def cut_clusters(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, links) of clusters of several fragments (column ``fragments``): partial overlaps a fragment, summed per pair."""
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fragments, grams = b.column("fragments").to_pylist(), b.column("grams").to_pylist()
+            at, number, own = [], [], []
+            for k, (n, g) in enumerate(zip(fragments, grams, strict=True)):
+                x = np.frombuffer(g, np.uint64)
+                cuts = [0, *np.searchsorted(x, np.array([(j << 64) // n for j in range(1, n)], np.uint64)).tolist(), len(x)]
+                at += [k] * n
+                number += range(n)
+                own += [x[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            take = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("cluster").take(take), pa.array(number, pa.int32()), b.column("key").take(take), b.column("n").take(take), b.column("copies").take(take), pa.array(own, pa.binary())], names=["cluster", "fragment", "key", "n", "copies", "grams"])
+
+    def count(table: pa.Table) -> pa.Table:
+        cluster, number = table.column("cluster")[0].as_py(), table.column("fragment")[0].as_py()
+        table = table.sort_by("key")
+        sizes = table.column("n").to_numpy().astype(np.int64)
+        fragment = Fragment([np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()], sizes, percent)
+        m, blocks = len(sizes), block_count(len(sizes))
+        rows: list = []
+        for b in range(blocks):
+            firsts = list(range(b, m, blocks))
+            rows.append((cluster, b, number, packed([fragment.after(i) for i in firsts], firsts, m), None, None, None))
+            if number == 0:
+                rows.append((cluster, b, -1, None, b"".join(table.column("key").to_pylist()), sizes.tobytes(), table.column("copies").to_numpy().astype(np.int64).tobytes()))
+        kinds = [pa.binary(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        names = ["cluster", "block", "fragment", "counts", "keys", "sizes", "copies"]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["fragment"])
+        head, rest = rows[0], rows[1:]
+        sizes, copies = np.frombuffer(head["sizes"], np.int64), np.frombuffer(head["copies"], np.int64)
+        m = len(sizes)
+        firsts = list(range(head["block"], m, block_count(m)))
+        links = Links(sizes, copies, percent)
+        for i, *parts in zip(firsts, *[unpacked(r["counts"], firsts, m) for r in rest], strict=True):
+            overlap = np.zeros(m, np.int64)
+            for where, n in parts:
+                overlap[where] += n
+            who = np.flatnonzero(overlap)
+            links.add(i, who, overlap[who])
+        return found_table(links.rows([head["keys"][16 * i:16 * i + 16] for i in range(m)]))
+
+    parts = placed.select("cluster", "key", "n", "copies", "grams", "fragments").mapInArrow(segments, "cluster binary, fragment int, key binary, n long, copies long, grams binary")
+    counted = parts.groupBy("cluster", "fragment").applyInArrow(count, PARTIAL)
+    return counted.groupBy("cluster", "block").applyInArrow(total, FOUND)
+
+
+def links_of(sets: DataFrame, clusters: DataFrame, copies: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, links): for each set and block that gives it links one set of its component and the documents it links with."""
+    spark = sets.sparkSession
+    placed = cut(sets.join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key").join(copies.select("key", "copies"), "key"))
+    work = F.least(F.sqrt(F.count(F.lit(1)) * F.sum("n") / F.lit(WORK)), F.lit(float(SPREAD)))
+    sizes = cut(placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block), work)).cast("int").alias("fragments"), F.sum("n").alias("n")))
+    # one row a cluster of over a block of n-grams, or of much work: few beside the sets
+    large = sizes.where("fragments > 1").select("cluster", "fragments")
+    some = large.count()
+    whole = sizes.where("fragments = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    bins = max(2 * spark.sparkContext.defaultParallelism, 4 * whole // block)
+    if not some:
+        return whole_clusters(placed, percent, bins)
+    held = small(large)
+    return whole_clusters(placed.join(held, "cluster", "left_anti"), percent, bins).unionByName(cut_clusters(placed.join(held, "cluster"), percent))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, tag: str | None = None) -> DataFrame:
+    """One row a document: doc_id, n_grams, component (its class's least doc_id), n_links (other documents that it links
+    with), key (of its class, null without n-grams), root (a class of its component), and a binary column ``tag`` of the input."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), (F.col(tag) if tag else F.lit(None)).cast("binary").alias("tag"))
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * narrow.rdd.getNumPartitions())
     rows = cut(fragment_rows(narrow, k, fragments, probed(percent)))
-    kept = cut(survivors(rows, percent))
-    sets = cut(sets_of(narrow, kept, k))
+    sets = sets_of(narrow, cut(survivors(rows, percent)), k)
     postings = cut(prefix_postings(sets, percent, fragments))
-    least = postings.groupBy("gram").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    clusters = components(postings.join(least, "gram").select(F.col("key").alias("a"), "b"))
-    own = rows.where("fragment = -1").select("id", "row", "n", "key")
-    classes = own.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    if links:
-        classes = cut(classes)
-        pairs = cut(counted_links(sets, clusters, classes, percent))
-    else:
-        pairs = links_of(sets, clusters, percent)
+    least = postings.groupBy("gram").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    clusters = components(join_hot(postings, least, "gram", "n").select(F.col("key").alias("a"), "b"))
+    own = rows.where("fragment = -1").select("id", "tag", "n", "key")
+    classes = cut(own.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    pairs = cut(links_of(sets, clusters, classes, percent))
     found = components(pairs.select("a", "b"))
-    rooted = classes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", "component", "copies")
-    columns = [F.col("row"), F.col("id").alias("doc_id"), F.col("n").alias("n_grams"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")]
-    if links:
-        named = named.join(pairs.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links")), "key", "left")
-        columns.append(F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
-    return own.join(named, "key", "left").select(*columns)
+    links = pairs.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    rooted = cut(classes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").join(links, "key", "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    named = join_hot(rooted, rooted.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members")), "root", "members")
+    out = join_hot(own, named.select("key", "root", "component", "copies", "links"), "key", "copies", "left")
+    columns = [F.col("id").alias("doc_id"), F.col("n").alias("n_grams"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"), "key", "root"]
+    return out.select(*columns, *([F.col("tag").alias(tag)] if tag else []))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
