@@ -4,9 +4,16 @@ Learning finds terms (whole words, or stems that begin words) that toxic documen
 often than others, puts them in a trie, and fits a logistic regression on what hits add up to.
 Matching runs the intersection of the trie with the automaton of its terms' misspellings: states
 are sets of (trie node, errors), determinised as words ask for them, so a word costs one look-up a
-letter and most die within a few letters. Any letter may be wrong, the first too. Each hit counts by its context window: a term inside
+letter and most die within a few letters. Any letter may be wrong, the first too; terms under five
+letters are met only as they are. Each hit counts by its context window: a term inside
 quotation marks or beside words of reporting counts less than one said to somebody.
 
+Words are runs of letters, in learning and in matching, so punctuation and hyphens part them;
+what stands between blanks is also read whole, with signs and digits as the letters they stand for. Scripts
+that don't part words (Han, kana, Thai, Lao, Khmer, Burmese) have strings of 2 to 4 characters as terms,
+looked up along their runs, the longest first; each character counts as a word there. Cues of
+reporting and address are known in English, French, German and Spanish only.
+
 Edge cases: null and empty texts have no hits and the score of no hits; without labels of both
 kinds the score is 0 for all; ties between terms go to fewer errors, then to the heavier; repeated
 rows are scored alike; an empty table gives no rows.
@@ -28,9 +35,8 @@ from pyspark.sql import types as T
 from vellumine.llm.columns import append, pieces
 from vellumine.session import cut
 
-#: Bounds of the labelled sample by label (toxic, other), and terms that a lexicon holds at most.
+#: Bounds of the labelled sample by label (toxic, other): documented parameters of the learning.
 SAMPLE = (4000, 8000)
-MOST_TERMS = 20_000
 #: A term: toxic documents that hold it at least, log-likelihood ratio and log-odds at least.
 LEAST_DOCS, LEAST_G2, LEAST_ODDS = 3, 24.0, math.log(12)
 STEMS = range(4, 9)
@@ -46,7 +52,17 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 QUOTES = '"“”„«»'
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _CLOSING = re.compile(r"(?:[^\w$@]|_)+$")
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Scripts without blanks between words.
+_UNPARTED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_LETTERS = re.compile(rf"[{_UNPARTED}]+|[^\W\d_{_UNPARTED}]+")
+_PARTED = re.compile(r"[^\w$@!|]+|_+")
+_DENSE = re.compile(f"[{_UNPARTED}]")
+_DENSE_OR_NOT = re.compile(f"[{_UNPARTED}]|[^{_UNPARTED}]+")
+#: Common punctuation at edges (signs that may stand for letters there left out).
+_OPENS = "\"'([{<.,;:?*-\u201c\u201e\u00ab\u2018\u00bf"
+_CLOSES = "\"')]}>.,;:?!*-\u201d\u201c\u00bb\u2019\u2026"
+#: Characters of a term in these scripts.
+DENSE = (2, 3, 4)
 
 
 def normal(piece: str) -> str:
@@ -62,9 +78,39 @@ def spelled(bare: str) -> str:
     return "".join(c for c in bare.translate(LEET) if c.isalpha())
 
 
-def readings(piece: str) -> set[str]:
-    """The word bare at its edges, and with the signs at its edges as letters too (behind it, those that aren't punctuation)."""
-    return {normal(piece), spelled(_CLOSING.sub("", piece.lower()))}
+def readings(piece: str) -> list[frozenset[str]]:
+    """How the words of what stands between blanks may be read: as one word, bare at its edges or with the signs
+    there as letters too (behind it, those that aren't punctuation); as words parted by punctuation; as runs of letters."""
+    low = piece.lower()
+    bare = low.lstrip(_OPENS).rstrip(_CLOSES)
+    if bare.isalpha():
+        return [frozenset({bare})]
+    parts = [low, *_PARTED.split(low), *_LETTERS.findall(low)]
+    return list(dict.fromkeys(frozenset({normal(p), spelled(_CLOSING.sub("", p))}) for p in parts if p))
+
+
+def dense_terms(run: str) -> set[str]:
+    """The strings of a run that may be terms."""
+    return {run[i:i + k] for k in DENSE for i in range(len(run) - k + 1)}
+
+
+def words_of(text: str) -> set[str]:
+    """The words that a text may teach."""
+    out: set[str] = set()
+    for run in _LETTERS.findall(text.lower()):
+        if _DENSE.match(run):
+            out |= dense_terms(run)
+        elif len(run) > 2:
+            out.add(run)
+    return out
+
+
+def tokens(text: str) -> list[str]:
+    """What stands between blanks; in scripts without blanks, each character."""
+    parts = text.split()
+    if not _DENSE.search(text):
+        return parts
+    return [t for p in parts for t in _DENSE_OR_NOT.findall(p)]
 
 
 def allowed(term: str) -> int:
@@ -78,7 +124,8 @@ class Lexicon:
     ``strict`` terms are met only as they are spelled. Errors may be at a term's first letter too if ``whole``.
     """
 
-    MOST_STATES = 50_000
+    #: Items (nodes with errors) of all states that are kept; beyond, the states are made anew.
+    MOST_ITEMS = 400_000
 
     def __init__(self, terms: dict[str, tuple[float, bool]], strict: frozenset[str] = frozenset(), whole: bool = False) -> None:
         self.terms, self.whole = terms, whole
@@ -104,10 +151,11 @@ class Lexicon:
         start = self.closed({(0, 0)})
         self.states = {start: 0}
         self.sets = [start]
+        self.held = len(start)
         self.steps: list[dict[str, int]] = [{}]
 
-    def closed(self, items: set) -> frozenset:
-        """With the letters of terms that a misspelling leaves out; fewest errors a node."""
+    def closed(self, items: set) -> tuple:
+        """With the letters of terms that a misspelling leaves out; fewest errors a node. Items are 4 * node + errors, in order."""
         best: dict[int, int] = {}
         todo = list(items)
         while todo:
@@ -117,11 +165,11 @@ class Lexicon:
             best[node] = e
             if e < self.most[node] and (node or self.whole):
                 todo += [(c, e + 1) for c in self.children[node].values()]
-        return frozenset(best.items())
+        return tuple(sorted(4 * node + e for node, e in best.items()))
 
     def step(self, state: int, c: str) -> int:
         to: set = set()
-        for node, e in self.sets[state]:
+        for node, e in (divmod(x, 4) for x in self.sets[state]):
             end = self.ends[node]
             if end is not None and self.terms[end][1] and e <= self.allowed[end]:
                 to.add((node, e))  # a stem met: the rest of the word is free
@@ -139,12 +187,13 @@ class Lexicon:
         if number == len(self.sets):
             self.sets.append(made)
             self.steps.append({})
+            self.held += len(made) + 8
         self.steps[state][c] = number
         return number
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its errors, or None."""
-        if len(self.sets) > self.MOST_STATES:
+        if self.held > self.MOST_ITEMS:
             self.reset()
         state = 0
         for c in word:
@@ -152,7 +201,7 @@ class Lexicon:
             state = self.step(state, c) if to is None else to
             if state < 0:
                 return None
-        found = [(e, -self.terms[t][0], t) for node, e in self.sets[state] if (t := self.ends[node]) is not None and e <= self.allowed[t]]
+        found = [(e, -self.terms[t][0], t) for node, e in (divmod(x, 4) for x in self.sets[state]) if (t := self.ends[node]) is not None and e <= self.allowed[t]]
         if not found:
             return None
         e, _, term = min(found)
@@ -160,22 +209,49 @@ class Lexicon:
 
 
 class Matcher(dict):
-    """Pieces of text to hits: (term, errors) or None, remembered up to a bound."""
+    """Pieces of text to their hits, (term, errors), remembered up to a bound."""
 
-    MOST = 400_000
+    MOST, LONGEST = 200_000, 64
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, piece: str):
+    def __missing__(self, piece: str) -> tuple[tuple[str, int], ...]:
         if len(self) > self.MOST:
             self.clear()
-        terms = self.lexicon.terms
-        met = [hit for word in readings(piece) if len(word) > 2 and (hit := self.lexicon.match(word)) is not None]
-        hit = min(met, key=lambda h: (h[1], -terms[h[0]][0], h[0]), default=None)
-        self[piece] = hit
-        return hit
+        terms, out = self.lexicon.terms, []
+        for words in readings(piece):
+            met = [hit for word in words if len(word) > 2 and (hit := self.lexicon.match(word)) is not None]
+            if met:
+                hit = min(met, key=lambda h: (h[1], -terms[h[0]][0], h[0]))
+                if hit not in out:
+                    out.append(hit)
+        found = tuple(out)
+        if len(piece) <= self.LONGEST:
+            self[piece] = found
+        return found
+
+    def hits(self, words: list[str], dense: bool = True) -> list[tuple[int, str, int]]:
+        """(place, term, errors) of all hits in a text's tokens; ``dense`` where some may be of a script without blanks."""
+        found = [(i, t, e) for i, own in enumerate(map(self.__getitem__, words)) if own for t, e in own]
+        if dense:
+            terms, i = self.lexicon.terms, 0
+            while i < len(words):
+                if not _DENSE.match(words[i]):
+                    i += 1
+                    continue
+                run = []
+                for w in words[i:i + max(DENSE)]:
+                    if not _DENSE.match(w):
+                        break
+                    run.append(w)
+                term = next((t for k in reversed(DENSE) if len(run) >= k and (t := "".join(run[:k])) in terms), None)
+                if term is not None:
+                    found.append((i, term, 0))
+                i += len(term or "x")
+            found.sort(key=lambda h: h[0])
+        return found
 
 
 def marks_before(words: list[str], at: list[int]) -> list[int]:
@@ -209,14 +285,14 @@ def features(text: str | None, matcher: Matcher) -> tuple[float, float, float, f
     """Of the hits, weighed by their terms' log-odds, context and errors: the heaviest, the sum; distinct terms; hits per hundred words."""
     if not text:
         return 0.0, 0.0, 0.0, 0.0
-    words = text.split()
-    hits = [(i, h) for i, h in enumerate(map(matcher.__getitem__, words)) if h is not None]
+    words = tokens(text)
+    hits = matcher.hits(words, _DENSE.search(text) is not None)
     if not hits:
         return 0.0, 0.0, 0.0, 0.0
     terms = matcher.lexicon.terms
-    marks = marks_before(words, [i for i, _ in hits])
-    weights = [context(words, i, n) * SPELLED[e] * terms[t][0] for (i, (t, e)), n in zip(hits, marks, strict=True)]
-    return max(weights), sum(weights), float(len({t for _, (t, _) in hits})), 100.0 * len(hits) / len(words)
+    marks = marks_before(words, [i for i, _, _ in hits])
+    weights = [context(words, i, n) * SPELLED[e] * terms[t][0] for (i, t, e), n in zip(hits, marks, strict=True)]
+    return max(weights), sum(weights), float(len({t for _, t, _ in hits})), 100.0 * len(hits) / len(words)
 
 
 def shaped(rows: list[tuple[float, float, float, float]]) -> np.ndarray:
@@ -278,7 +354,7 @@ def chosen(counts: dict[tuple[str, bool], tuple[int, int]], na: int, nb: int) ->
     for w, (a, b) in words.items():
         if not any(w[:k] in terms and terms[w[:k]][1] for k in STEMS if k <= len(w)):
             terms[w] = (odds(a, b), False)
-    return dict(sorted(terms.items(), key=lambda t: (-t[1][0], t[0]))[:MOST_TERMS])
+    return dict(sorted(terms.items(), key=lambda t: (-t[1][0], t[0])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
@@ -306,10 +382,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for piece in pieces(batch, "text"):
                 for y, whole in zip(piece.column("y").to_pylist(), piece.column("text").to_pylist(), strict=True):
-                    words = {w for w in _LETTERS.findall(whole.lower()) if len(w) > 2}
+                    words = words_of(whole)
                     total[y] += 1
                     seen.update((w, False, y) for w in words)
-                    seen.update({(w[:k], True, y) for w in words for k in STEMS if len(w) > k})
+                    seen.update({(w[:k], True, y) for w in words for k in STEMS if len(w) > k and not _DENSE.match(w)})
                 if len(seen) > 500_000:
                     yield out()
                     seen.clear()
@@ -332,7 +408,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for piece in pieces(batch, "text"):
                 for y, whole in zip(piece.column("y").to_pylist(), piece.column("text").to_pylist(), strict=True):
-                    seen.update({(h[0], y) for h in map(matcher.__getitem__, whole.split()) if h is not None and h[1]})
+                    seen.update({(t, y) for own in map(matcher.__getitem__, tokens(whole)) for t, e in own if e})
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(seen.values(), pa.int64())], names=["term", "y", "n"])
 
     # a term whose misspellings stand in ordinary texts is met only as it is spelled
