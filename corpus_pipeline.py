@@ -4,7 +4,7 @@ Every stage works on all that its predecessor kept, and its decisions take effec
 
 1. toxicity: documents that the learned score rejects go;
 2. n-gram Jaccard join: of each component of links (five-word shingles, similarity 0.8 or more)
-   the document with the least id stays;
+   one row stays, of the least id;
 3. benchmark decontamination: documents in which an item is found go;
 4. secret scans: each secret is replaced by a mark, and n_chars follows;
 5. mixing: sources are mixed to target weights; a row for each copy emitted.
@@ -15,17 +15,18 @@ empty tables and further columns are handled as each operator's docstring says.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import decontaminate, mixing, ngram_join, secrets, toxicity
-from vellumine.session import shared_dir
+from vellumine.llm.skew import join_hot, small
+from vellumine.session import cut, scratch
 
 #: SQL can't express the learned, sketched and verified stages; tests hold them against brute force.
 ORACLE_SQL = None
 
+#: A column for rows' hashes.
+ROW = "__vellumine_row"
 #: Texts of this score and more are rejected.
 TOXIC = 0.5
 
@@ -39,16 +40,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: its least doc_id, and of repeated rows of that one too."""
-    joined = ngram_join.join(docs, k=5, percent=80, links=False)
-    # one row a component stays; those without n-grams, or without an id, stay all
-    losers = joined.where(F.col("doc_id").isNotNull() & F.col("component").isNotNull() & (F.col("doc_id") != F.col("component"))).select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    again = joined.where(F.col("doc_id") == F.col("component")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """One row of each component: its least doc_id's (null ids last; then by a hash of the row), one of repeated rows.
+
+    Rows are told apart by a hash of all their columns, so those that share an id are judged by their texts.
+    Rows without n-grams link with nothing and stay all.
+    """
+    whole = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *docs.columns)), 16, "0") for k in (1, 2)]))
+    named = docs.withColumn(ROW, whole)
+    joined = cut(ngram_join.join(named, k=5, percent=80, tag=ROW).where(F.col("root").isNotNull()).select("root", "doc_id", ROW))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))
+    groups = joined.groupBy("root").agg(F.min(order)["row"].alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = cut(join_hot(joined, groups, "root", "n"))
+    # a row's component is that of its text, so rows with one hash are all first or all not
+    losers = cut(held.where(F.col(ROW) != F.col("first")).select(ROW).distinct())
+    kept = named.join(small(losers), ROW, "left_anti")
+    repeated = cut(held.where(F.col(ROW) == F.col("first")).groupBy(ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW))
+    if not repeated.isEmpty():
+        again = small(repeated)
+        kept = kept.join(again, ROW, "left_anti").unionByName(kept.join(again, ROW, "left_semi").dropDuplicates([ROW]))
+    return kept.select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +91,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each one's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    where = scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{where}/{k}-{name.replace(' ', '_')}"
         stage(spark, docs, sf_dir).write.parquet(out)
