@@ -378,7 +378,33 @@ def test_leak_odd_rows(spark):
     assert D.find_leaks(df, bench.limit(0)).where("size(leaks) > 0").count() == 0 and D.find_leaks(df.limit(0), bench).count() == 0
 
 
-def test_benchmark_in_blocks(spark):
+def test_benchmark_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"item number {k} " + "word " * 20 + str(k * 7919)) for k in range(20)], "item_id long, text string")
-    parts = D.blocks(bench, most=500)
-    assert len(parts) > 2 and sorted(i for p in parts for i, _ in p) == list(range(20))
+    where, n = D.stored(bench, most=500)
+    assert n > 2 and sorted(i for b in range(n) for i, _ in D.items_of(where, b)) == list(range(20))
+    docs = spark.createDataFrame([(k, f"before item number {k} " + "word " * 20 + f"{k * 7919} after", "x") for k in range(20)], "doc_id long, text string, leaks string").repartition(2)
+    monkeypatch.setattr(D, "GATHER", 600)
+    got = {r["doc_id"]: sorted(x["item_id"] for x in r["leaks"] if not x["edits"]) for r in D.find_leaks(docs, bench, most=500).collect()}
+    assert got == {k: [k] for k in range(20)}
+
+
+@pytest.mark.parametrize("rate", [0.10, 0.13, 0.15])
+def test_every_length_and_script_up_to_the_edits_allowed(rate):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 8)))
+    glyphs = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    prose = lambda n: " ".join(word() for _ in range(n))[:n].strip() + "q"
+    for name, make, n, count in (("24-40", prose, (24, 40), 60), ("41-80", prose, (41, 80), 60), ("81-300", prose, (81, 300), 60), ("run", glyphs, (20, 60), 60)):
+        items = [D.normal(make(rng.randint(*n))) for _ in range(count)]
+        texts = []
+        for item in items:
+            s = list(item.decode())
+            # substitutions by one byte of one: an edit each, exactly the share allowed
+            for p in rng.sample(range(len(s)), max(1, int(len(s) * rate)) if name != "run" else max(1, int(len(s) * rate / 3))):
+                s[p] = "z"
+            around = glyphs if name == "run" else (lambda n: " " + prose(n * 5) + " ")
+            texts.append(around(30) + "".join(s) + around(30))
+        found = D.Index(list(enumerate(items))).leaks(texts)
+        allowed = [k for k, (item, t) in enumerate(zip(items, texts, strict=True)) if D.distance_within(item, D.normal(t))[0] <= int(len(item) * D.EDITS)]
+        hit = sum(any(x["item_id"] == k for x in found[k]) for k in allowed)
+        assert hit >= 0.9 * len(allowed), (name, hit, len(allowed))

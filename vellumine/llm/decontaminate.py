@@ -17,8 +17,10 @@ item's bytes.
 Items that a document holds as they are need no luck: the first ``SHORTEST`` bytes of each are looked
 up at every byte.
 
-Documents are read whole, in one pass with no shuffle. Items are broadcast in blocks of at most
-``BLOCK_BYTES``; more items mean more passes, none is left out.
+Documents are read whole, in one pass with no shuffle. Items never come to the driver: they are stored in the shared
+folder in blocks of about ``BLOCK_BYTES``, and a task holds the index of one block at a time (kept
+for the next task where there is one block only). Where there are more, a task gathers ``GATHER`` bytes of texts
+and holds them against one block after another: time grows with blocks, memory doesn't, and no item is left out.
 
 Edge cases: null and empty texts leak nothing; items without a letter or digit, and null items,
 are in no document; items under ``SHORTEST`` bytes allow no edits and are found as whole words;
@@ -29,17 +31,24 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from vellumine.llm.columns import append
+from vellumine.llm.columns import pieces
+from vellumine.llm.media import open_fs
+from vellumine.session import scratch
 
 STRIDE = 4
-CLASSES = (24, 32, 64, 96)
+CLASSES = (16, 24, 32, 48)
 SHORTEST = 24
 #: Bytes of a run without blanks from which windows start at each of its characters.
 RUN = 24
@@ -49,7 +58,8 @@ SAMPLED, AGREE, RECALL = 8, 0.72, 0.97
 #: Share of all coordinates in which windows agree that are verified.
 HAMMING = 0.5
 GRAM = 4
-BLOCK_BYTES = 16 << 20
+#: Bytes of items in a block (their index takes some 60 times as much), and of texts that are held against block after block.
+BLOCK_BYTES, GATHER = 2 << 20, 32 << 20
 SEED = 20240607
 #: Windows that are walked at once (their copies stay in a core's cache).
 CHUNK = 16_384
@@ -161,7 +171,7 @@ def item_windows(text: bytes) -> tuple[int, int, list[int]]:
     at = np.arange(len(text))
     starts = np.union1d(sure, at[((at < first) | (at >= last)) & ((data[:-1] & 0xC0) != 0x80)])
     sure = sure[sure > 0]
-    roomy = [c for c in CLASSES if c <= len(text) - 2 * STRIDE * 6 and (sure + c <= len(text)).sum() >= 2 * STRIDE]
+    roomy = [c for c in CLASSES[1:] if c <= len(text) - 2 * STRIDE * 6 and (sure + c <= len(text)).sum() >= 2 * STRIDE]
     stride, c = (STRIDE, max(roomy)) if roomy else (1, CLASSES[0])
     return stride, c, starts[starts + c <= len(text)].tolist()
 
@@ -297,35 +307,67 @@ class Index:
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("ends_at", T.LongType())]))
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> list[list[tuple[int, bytes]]]:
-    """The items, folded, in blocks whose size is checked to stay near ``most`` bytes."""
+def stored(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> tuple[str, int]:
+    """Where items lie in the shared folder, and how many blocks there are: each is a folder of its number."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text"))
     whole = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-whole // most))
-    out = []
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        items = [(r["id"], normal(r["text"])) for r in part.collect()]
-        out.append(sorted((i for i in items if i[1]), key=lambda i: (i[0] is None, i[0] or 0, i[1])))
-    return [b for b in out if b]
+    n = -(-whole // most)
+    where = scratch(benchmark.sparkSession, "items")
+    if n:
+        rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n))).write.partitionBy("block").parquet(where)
+    return where, n
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, into: str = "leaks") -> DataFrame:
+def items_of(where: str, block: int) -> list[tuple[int, bytes]]:
+    """One block's items, folded, in order."""
+    fs, base = open_fs(f"{where}/block={block}")
+    files = [i.path for i in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if i.path.endswith(".parquet")]
+    rows = [r for f in sorted(files) for r in pq.read_table(f, filesystem=fs, columns=["id", "text"], partitioning=None).to_pylist()]
+    items = [(r["id"], normal(r["text"])) for r in rows]
+    return sorted((i for i in items if i[1]), key=lambda i: (i[0] is None, i[0] or 0, i[1]))
+
+
+@lru_cache(maxsize=1)
+def index_of(where: str, block: int) -> Index:
+    """A block's index; the worker that built it keeps it for its next task."""
+    return Index(items_of(where, block))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, into: str = "leaks", most: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a column (``leaks``): an array of (item_id, edits, ends_at); empty for clean documents."""
-    kept = docs if keep is None else docs.select(*dict.fromkeys([*keep, text]))
-    columns = [c for c in (kept.columns if keep is None else keep) if c != into]
-    out, names = kept, []
-    for b, items in enumerate(blocks(benchmark)):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def make(shared=shared) -> Callable[[list], list[list]]:
-            index = Index(shared.value)
-            return lambda texts: [index.leaks(texts)]
-
-        out = append(out, text, [T.StructField(f"__leaks_{b}", LEAKS)], make)
-        names.append(f"__leaks_{b}")
-    leaks = F.concat(*names) if names else F.array().cast(LEAKS)
-    return out.select(*columns, leaks.alias(into))
+    where, blocks = stored(benchmark, most=most)
+    columns = [c for c in (docs.columns if keep is None else keep) if c != into]
+    narrow = docs.select(*dict.fromkeys([*columns, text]))
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(into, LEAKS)])
+    kind = to_arrow_schema(schema).field(into).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            texts = [p.column(text).to_pylist() for p in held]
+            found: list[list[list]] = [[[] for _ in own] for own in texts]
+            for b in range(blocks):
+                index = index_of(where, b)
+                for leaks, own in zip(found, texts, strict=True):
+                    for k, more in enumerate(index.leaks(own)):
+                        leaks[k] += more
+            for p, leaks in zip(held, found, strict=True):
+                yield pa.RecordBatch.from_arrays([*(p.column(c) for c in columns), pa.array(leaks, kind)], names=[*columns, into])
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for piece in pieces(batch, text):
+                held.append(piece)
+                size += piece.column(text).nbytes
+                if blocks < 2 or size >= GATHER:
+                    yield from close()
+                    size = 0
+        if held:
+            yield from close()
+
+    return narrow.mapInArrow(run, schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
