@@ -1,12 +1,14 @@
 """Media columns: payloads as images in archives, read through a custom Spark data source.
 
 Writing: each task stores its payloads as 8-bit grey PNG images (lossless) in ZIP archives in the
-shared folder; what comes back through Spark is one row an archive: its path and size. An
-archive is written under a name of its own, so retried or lost tasks leave files that no row names.
-
-Reading (format ``vellumine_media``): a partition is a range of an archive's directory, planned
-from the fixed-width directory entries by arithmetic, so planning reads an archive's last bytes
-only. A reader fetches its slice of the directory, then each member's byte range, and yields Arrow
+shared folder, and one row an archive in a manifest beside them: its path, where its directory lies, and the
+entries at which ranges of about ``RANGE`` bytes begin. An archive is written under a name of its own,
+so retried or lost tasks leave files that the manifest doesn't name.
+
+Reading (format ``vellumine_media``): a partition is some ranges of archives' directories. They are planned from the
+manifest, without opening an archive; for folders without one, from each archive's end record and a binary search for
+offsets among the fixed-width directory entries, archives beside each other. Partitions hold about equal bytes
+and there are at most ``PARTITIONS`` of them. A reader fetches its slice of a directory, then each member's byte range, and yields Arrow
 batches of bounded size. A member is retried alone, by its offset, and checked against its CRC.
 
 Edge cases: a null text counts as empty; an empty payload is one block of blanks; texts of any
@@ -22,22 +24,28 @@ import time
 import uuid
 import zipfile
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from vellumine.llm.columns import pieces
-from vellumine.session import shared_dir
+from vellumine.session import scratch
 
 #: Bytes in an image's row and in a unit of payload; bytes of an archive; of members read by a partition; of an Arrow batch.
 UNIT, ARCHIVE, RANGE, BATCH = 192, 64 << 20, 16 << 20, 4 << 20
 TRIES = 4
+#: Partitions that a read has at most, and archives that are looked at together where there is no manifest.
+PARTITIONS, TOGETHER = 100_000, 32
+MANIFEST = "manifest"
 #: Member names: doc_id (or null), payload bytes without padding, serial; fixed width, so directory entries are too.
 NAME = "{:>20}_{:0>12}_{:0>9}.png"
 NAME_BYTES = len(NAME.format(0, 0, 0))
@@ -93,31 +101,36 @@ def samples(image: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
-def write_archives(docs: DataFrame, where: str, doc_id: str = "doc_id", text: str = "text", most: int = ARCHIVE) -> list[tuple[str, int]]:
-    """Store every payload; returns path and size of each archive (about input bytes / ``most`` and one a task)."""
+def write_archives(docs: DataFrame, where: str, doc_id: str = "doc_id", text: str = "text", most: int = ARCHIVE, ranged: int = RANGE) -> None:
+    """Store every payload under ``where``, archives and their manifest (about input bytes / ``most`` and one archive a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(where)
-        done: list[tuple[str, int]] = []
+        done: list[tuple[str, int, int, list[int], list[int]]] = []
         out = archive = None
         name, serial = "", 0
+        cuts: list[int] = []
+        offsets: list[int] = []
 
         def close() -> None:
             nonlocal out, archive
             if archive is not None:
                 archive.close()
                 out.close()
-                done.append((f"{where}/{name}", fs.get_file_info(f"{base}/{name}").size))
+                done.append((name, archive.start_dir, serial, cuts, offsets))
             out = archive = None
 
         for batch in batches:
             for piece in pieces(batch, "text"):
                 for key, whole in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     if archive is None:
-                        name, serial = f"{uuid.uuid4().hex}.zip", 0
+                        name, serial, cuts, offsets = f"{uuid.uuid4().hex}.zip", 0, [], []
                         fs.create_dir(base, recursive=True)
                         out = fs.open_output_stream(f"{base}/{name}")
                         archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+                    if not cuts or archive.fp.tell() - offsets[-1] >= ranged:
+                        cuts.append(serial)
+                        offsets.append(archive.fp.tell())
                     payload, n = padded(whole)
                     member = zipfile.ZipInfo(NAME.format("null" if key is None else key, n, serial))
                     archive.writestr(member, png(payload))
@@ -125,17 +138,38 @@ def write_archives(docs: DataFrame, where: str, doc_id: str = "doc_id", text: st
                     if archive.fp.tell() >= most or serial >= 60_000:  # within the plain ZIP format's 65,535 members
                         close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "bytes"])
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds)], names=["name", "directory", "entries", "cuts", "offsets"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows.mapInArrow(run, "name string, directory long, entries long, cuts array<long>, offsets array<long>").write.parquet(f"{where}/{MANIFEST}")
+
+
+class DirectoryRanges(InputPartition):
+    """Entries [first, last) of archives' directories: (path, where the directory lies, first, last)."""
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "path string, bytes long").collect()
-    return [(r["path"], r["bytes"]) for r in rows]
+    def __init__(self, ranges: list[tuple[str, int, int, int]]) -> None:
+        self.ranges = ranges
 
 
-class DirectoryRange(InputPartition):
-    """Entries [first, last) of an archive's directory."""
+def looked_at(path: str, size: int, ranged: int) -> tuple[str, int, int, list[int], list[int]]:
+    """An archive's directory, and ranges of about ``ranged`` bytes, from its end record and a few entries."""
+    fs, inner = open_fs(path)
+    with fs.open_input_file(inner) as f:
+        f.seek(size - 22)
+        sign, entries, length, directory = struct.unpack("<4s6xHII2x", f.read(22))
+        if sign != b"PK\x05\x06" or length != entries * ENTRY:
+            raise ValueError(f"{path} isn't an archive of this kind")
 
-    def __init__(self, path: str, directory: int, first: int, last: int) -> None:
-        self.path, self.directory, self.first, self.last = path, directory, first, last
+        def offset(k: int) -> int:
+            f.seek(directory + k * ENTRY + 42)
+            return struct.unpack("<I", f.read(4))[0]
+
+        cuts = [0] if entries else []
+        for wanted in range(ranged, directory, ranged):
+            cuts.append(bisect_left(range(entries), wanted, key=offset))
+        cuts = sorted({c for c in cuts if c < entries})
+        return path, directory, entries, cuts, [offset(c) for c in cuts]
 
 
 class ArchiveReader(DataSourceReader):
@@ -143,36 +177,47 @@ class ArchiveReader(DataSourceReader):
         self.options = options
         self.range = int(options.get("rangebytes", RANGE))
 
-    def archives(self) -> list[tuple[str, int]]:
-        if "list" in self.options:
-            return [(p, int(n)) for p, n in (x.rsplit(":", 1) for x in self.options["list"].split("\n") if x)]
-        fs, base = open_fs(self.options["path"])
-        scheme = self.options["path"]
-        return sorted((f"{scheme.rstrip('/')}/{i.base_name}", i.size) for i in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if i.base_name.endswith(".zip"))
-
-    def partitions(self) -> list[DirectoryRange]:
-        """Ranges of about ``rangebytes`` of members each: from each archive's end record alone."""
-        out = []
-        for path, size in self.archives():
-            fs, inner = open_fs(path)
-            with fs.open_input_file(inner) as f:
-                f.seek(size - 22)
-                sign, entries, length, directory = struct.unpack("<4s6xHII2x", f.read(22))
-            if sign != b"PK\x05\x06" or length != entries * ENTRY:
-                raise ValueError(f"{path} isn't an archive of this kind")
-            parts = max(1, -(-directory // self.range))
-            step = max(1, -(-entries // parts))
-            out += [DirectoryRange(path, directory, k, min(entries, k + step)) for k in range(0, entries, step)]
-        return out or [DirectoryRange("", 0, 0, 0)]
-
-    def read(self, partition: DirectoryRange) -> Iterator[pa.RecordBatch]:
-        if partition.first >= partition.last:
-            return
-        fs, inner = open_fs(partition.path)
+    def listed(self) -> list[tuple[str, int, int, list[int], list[int]]]:
+        """Of each archive its path, where its directory lies, its entries, and the entries and offsets at which ranges begin."""
+        where = self.options["path"].rstrip("/")
+        fs, base = open_fs(where)
+        files = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+        if any(i.base_name == MANIFEST for i in files):
+            parts = [i.path for i in fs.get_file_info(pafs.FileSelector(f"{base}/{MANIFEST}")) if i.path.endswith(".parquet")]
+            rows = [r for p in sorted(parts) for r in pq.read_table(p, filesystem=fs, partitioning=None).to_pylist()]
+            return [(f"{where}/{r['name']}", r["directory"], r["entries"], r["cuts"], r["offsets"]) for r in rows]
+        found = sorted((f"{where}/{i.base_name}", i.size) for i in files if i.base_name.endswith(".zip"))
+        with ThreadPoolExecutor(TOGETHER) as pool:
+            return list(pool.map(lambda x: looked_at(*x, self.range), found))
+
+    def partitions(self) -> list[DirectoryRanges]:
+        """Ranges of about ``rangebytes`` of members each, or more where that would make too many."""
+        ranges = []
+        for path, directory, entries, cuts, offsets in self.listed():
+            ends = [*cuts[1:], entries]
+            sizes = np.diff([*offsets, directory]).tolist()
+            ranges += [((path, directory, first, last), n) for first, last, n in zip(cuts, ends, sizes, strict=True) if last > first]
+        most = max(self.range, -(-sum(n for _, n in ranges) // PARTITIONS))
+        out: list[list] = []
+        held = most
+        for own, n in ranges:
+            if held + n > most:
+                out.append([])
+                held = 0
+            out[-1].append(own)
+            held += n
+        return [DirectoryRanges(r) for r in out] or [DirectoryRanges([])]
+
+    def read(self, partition: DirectoryRanges) -> Iterator[pa.RecordBatch]:
+        for own in partition.ranges:
+            yield from self.members(*own)
+
+    def members(self, path: str, at: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
+        fs, inner = open_fs(path)
         arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("archive", pa.string()), ("offset", pa.int64()), ("attempts", pa.int32()), ("error", pa.string())])
         with fs.open_input_file(inner) as f:
-            f.seek(partition.directory + partition.first * ENTRY)
-            directory = f.read((partition.last - partition.first) * ENTRY)
+            f.seek(at + first * ENTRY)
+            directory = f.read((last - first) * ENTRY)
         rows, held = [], 0
         for k in range(0, len(directory), ENTRY):
             crc, size = struct.unpack("<I4xI", directory[k + 16:k + 28])
@@ -187,7 +232,7 @@ class ArchiveReader(DataSourceReader):
                 except (OSError, ValueError, struct.error, zlib.error) as e:
                     error = str(e)[:200]
                     time.sleep(0.05 * 2**attempts if attempts < TRIES else 0)
-            rows.append((None if key == "null" else int(key), int(n), payload, image if error is None else None, partition.path, offset, attempts, error))
+            rows.append((None if key == "null" else int(key), int(n), payload, image if error is None else None, path, offset, attempts, error))
             held += len(payload or b"") + size
             if held >= BATCH:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
@@ -260,10 +305,8 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
 def op5(spark, sf_dir: str) -> DataFrame:
     """Every whole text stored as an image, read back by the data source, and described."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{shared_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
-    written = write_archives(docs, where)
-    spark.dataSource.register(MediaSource)
-    # one line an archive: a retried task's leftovers aren't in the list
-    members = spark.read.format("vellumine_media").option("list", "\n".join(f"{p}:{n}" for p, n in written)).load()
+    where = scratch(spark, "media")
+    write_archives(docs, where)
+    members = read_archives(spark, where)
     whole = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("unread member: "), "error"))).otherwise(F.col("payload"))
     return describe(members.withColumn("payload", whole))
