@@ -7,7 +7,9 @@ differ from the target by less than the longest document.
 
 Scale: no window holds more than ``rows_per_bucket`` rows of documents. Prefix sums have two
 levels: counts of buckets (source, size, salt) are summed within a source, ranks are taken within
-a bucket. Only buckets over the bound are salted; there are at most rows / rows_per_bucket of them.
+a bucket. Only buckets over the bound are salted; there are at most rows / rows_per_bucket of them. Salts
+follow the id, for null ids a digest of the text; within a bucket ids decide, then what is carried, so reruns agree.
+The bound decides which of the documents of one size are taken, never how many words.
 
 Edge cases: null or empty text has size 0; null sources are one source, last in order; a source
 without words has target 0 and takes nothing; repeated rows are rows of their own; an empty table
@@ -64,7 +66,9 @@ def offset(source: Column, seed: str) -> Column:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:", rows_per_bucket: int = ROWS_PER_BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken (and ``carry``)."""
     own = F.col(source)
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(own, F.lit("")).alias("key"), own.isNull().alias("none"), word_count(F.col(text)).alias("size"), *carry)
+    digest = F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit(""))), 1, 8), 16, 10).cast("long")
+    number = F.coalesce(F.col(doc_id), digest)
+    sized = docs.select(F.col(doc_id).alias("doc_id"), number.alias("__number"), F.coalesce(own, F.lit("")).alias("key"), own.isNull().alias("none"), word_count(F.col(text)).alias("size"), *carry)
     sized = sized if carry else cut(sized)  # what is carried may be long: then words are counted twice instead
     named = F.when(~F.col("none"), F.col("key")).alias("source")  # a null source is a key of its own, so that joins and windows share one partitioning
     counts = cut(sized.groupBy("key", "none", "size").agg(F.count(F.lit(1)).alias("n")))
@@ -75,14 +79,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     cells, salted, keys = counts.withColumn("salt", F.lit(0).cast("long")), sized, ["key", "none", "size"]
     if not hot.isEmpty():
         keys = [*keys, "salt"]
-        salted = sized.join(F.broadcast(hot), ["key", "none", "size"], "left").withColumn("salt", F.coalesce(F.pmod("doc_id", "salts"), F.lit(0)).cast("long")).drop("salts")
+        salted = sized.join(F.broadcast(hot), ["key", "none", "size"], "left").withColumn("salt", F.coalesce(F.pmod("__number", "salts"), F.lit(0)).cast("long")).drop("salts")
         again = salted.join(F.broadcast(hot), ["key", "none", "size"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         cells = cells.where(F.col("n") <= rows_per_bucket).unionByName(again)
     upto = Window.partitionBy("key", "none").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     starts = cells.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n").join(aims, ["key", "none"]).withColumn("rate", rate)
     # one shuffle of documents serves the ranks within buckets and the join with the buckets' starts
-    inside = Window.partitionBy(*keys).orderBy("doc_id")
+    inside = Window.partitionBy(*keys).orderBy("doc_id", *([F.xxhash64(*carry)] if carry else []))
     ranked = salted.withColumn("at", F.row_number().over(inside)).join(starts, keys)
     rank = (F.col("before") + F.col("at")).cast("double")
     shift = offset(F.col("key"), seed)
@@ -105,7 +109,7 @@ def sql(table: str = "documents", rows_per_bucket: int = ROWS_PER_BUCKET) -> str
     """DuckDB SQL for op7: the same order, offsets and water-filling."""
     return rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {table}
+  SELECT doc_id, coalesce(doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT) AS number, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {table}
 ), counts AS (
   SELECT source, size, count(*) AS n FROM sized GROUP BY ALL
 ), sources AS (
@@ -127,7 +131,7 @@ WITH sized AS (
   FROM freed LEFT JOIN level ON true
 ), ranked AS (
   SELECT s.doc_id, s.source, s.size, row_number() OVER (PARTITION BY s.source ORDER BY s.size,
-    CASE WHEN n > {rows_per_bucket} THEN coalesce((s.doc_id % ceil(n / {rows_per_bucket}.0)::BIGINT + ceil(n / {rows_per_bucket}.0)::BIGINT) % ceil(n / {rows_per_bucket}.0)::BIGINT, 0) ELSE 0 END,
+    CASE WHEN n > {rows_per_bucket} THEN (s.number % ceil(n / {rows_per_bucket}.0)::BIGINT + ceil(n / {rows_per_bucket}.0)::BIGINT) % ceil(n / {rows_per_bucket}.0)::BIGINT ELSE 0 END,
     s.doc_id NULLS FIRST)::DOUBLE AS place
   FROM sized s JOIN counts c ON s.size = c.size AND s.source IS NOT DISTINCT FROM c.source
 )
