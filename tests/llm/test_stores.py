@@ -124,9 +124,11 @@ def test_chat_query_against_the_table(spark, sf):
 
 
 def test_turns_that_repeat_and_nulls(spark):
-    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x"), (None, 2, "assistant", "y" * 300), (1, 10, "assistant", "z"), (1, 9, "user", "w")]
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x"), (None, 2, "assistant", "y" * 700), (1, 10, "assistant", "z"), (1, 9, "user", "w"), (1, -1, "user", "below")]
     got = {r["conv"]: chat.parse(r["formatted"]) for r in chat.reconstruct(chat.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
-    assert got == {1: [("", "x"), ("user", ""), ("user", ""), ("user", "w"), ("assistant", "z")], None: [("assistant", "y" * 300)]}
+    assert got == {1: [("", "x"), ("user", "below"), ("user", ""), ("user", ""), ("user", "w"), ("assistant", "z")], None: [("assistant", "y" * 700)]}
+    kinds = {r["kind"] for r in chat.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("kind").distinct().collect()}
+    assert kinds == {"open", "edit", "regenerate", "delta"}
 
 
 def odd(spark):

@@ -28,12 +28,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-#: Code points of a streamed delta in the log that is made of a table of turns.
-DELTA = 64
+#: Code points of a streamed delta, and of a first draft, in the log that is made of a table of turns.
+DELTA, DRAFT = 256, 32
 
 
 def escape(text: str) -> str:
@@ -117,25 +117,25 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def turn_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", size: int = DELTA) -> DataFrame:
-    """The log that a table of turns stands for: each turn is opened, then streamed in deltas.
+    """The log that a table of turns stands for: a draft of each turn is opened and replaced by an edit or, where the
+    role is assistant, regenerated; then its text is streamed in deltas.
 
-    Rows of one turn number are turns of their own, in the order of role and text.
+    Turns go by their number, null first; rows of one number are turns of their own, in the order of role and text.
     """
-    from pyspark.sql import Window
-
     t = F.coalesce(F.col(text), F.lit(""))
     # ranks keep repeated rows apart; a partition is one turn of one conversation
     place = F.row_number().over(Window.partitionBy("conv", "turn").orderBy("role", "text"))
-    named = turns.select(F.col(conv).cast("long").alias("conv"), F.coalesce(F.col(turn).cast("long"), F.lit(-1)).alias("turn"), F.col(role).alias("role"), t.alias("text"))
-    slotted = named.withColumn("slot", F.struct("turn", place.alias("place")))
-    opened = F.array(F.struct(F.lit("open").alias("kind"), F.lit(0).alias("part"), F.lit("").alias("text")))
+    named = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), t.alias("text"))
+    placed = named.withColumn("place", place)
+    event = lambda kind, part, own: F.struct(F.lit(kind).alias("kind"), F.lit(part).alias("part"), own.alias("text"))
+    drafted = F.array(event("open", -2, F.substring("text", 1, DRAFT)), F.when(F.col("role") == "assistant", event("regenerate", -1, F.lit(""))).otherwise(event("edit", -1, F.lit(""))))
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"), F.lit(size))).otherwise(F.array().cast("array<int>"))
     deltas = F.transform(starts, lambda i: F.struct(F.lit("delta").alias("kind"), i.alias("part"), F.col("text").substr(i, F.lit(size)).alias("text")))
-    # slots sort as text: the turn moved above zero, then the place among its repeated rows
-    above = (F.col("slot.turn").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string")
-    number = F.concat(F.lpad(above, 20, "0"), F.lpad(F.col("slot.place").cast("string"), 12, "0"))
-    return slotted.select("conv", "role", "slot", F.explode(F.concat(opened, deltas)).alias("e")).select(
-        "conv", F.struct(F.col("slot.turn"), F.col("slot.place"), F.col("e.part")).alias("seq"), "e.kind", number.alias("slot"), "role", "e.text")
+    # slots sort as text: null turns, then the turn moved above zero, then the place among its repeated rows
+    above = (F.col("turn").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string")
+    number = F.concat(F.coalesce(F.concat(F.lit("1"), F.lpad(above, 20, "0")), F.lit("0")), F.lit("."), F.lpad(F.col("place").cast("string"), 12, "0"))
+    return placed.select("conv", "role", "turn", "place", number.alias("slot"), F.explode(F.concat(drafted, deltas)).alias("e")).select(
+        "conv", F.struct("turn", "place", F.col("e.part")).alias("seq"), "e.kind", "slot", "role", "e.text")
 
 
 def digests(formatted: pd.Series) -> pd.DataFrame:
@@ -175,8 +175,8 @@ WITH rows AS (
 ), shown AS (
   SELECT *, '{TURN}' || {escaped('role')} || '{TEXT}' || {escaped('text')} || '{END}' AS part FROM rows
 ), whole AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, string_agg(part, '' ORDER BY turn, role, text) AS formatted
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, string_agg(part, '' ORDER BY turn NULLS FIRST, role, text) AS formatted
   FROM shown GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, length(formatted) AS formatted_chars, formatted FROM whole
