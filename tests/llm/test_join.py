@@ -155,3 +155,7 @@ def test_hub_is_the_greatest_node(spark, monkeypatch):
     monkeypatch.setattr("vellumine.llm.skew.HOT", 20)
     edges = spark.createDataFrame([(k, 999) for k in range(100)], "a long, b long")
     assert {r["root"] for r in components(edges).collect()} == {0}
+
+
+def test_same_rows_as_sql(same):
+    same(N.op3, N.sql())

@@ -611,3 +611,28 @@ def op3(spark, sf_dir: str) -> DataFrame:
     """Links of documents whose sets of word 4-grams have a Jaccard similarity of at least 0.85: their components, and how many each has."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return join(docs, k=4, percent=85).select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+
+
+def sql(table: str = "documents", k: int = 4, percent: int = 85) -> str:
+    """DuckDB SQL for op3: every pair that shares an n-gram is counted, and links are followed."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM {table}
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) END AS grams FROM words
+), sizes AS (
+  SELECT doc_id, len(grams)::BIGINT AS n FROM sets
+), grams AS MATERIALIZED (
+  SELECT doc_id, unnest(grams) AS g FROM sets
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= {percent} * (s.n + t.n - c)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT s.doc_id, any_value(s.n) AS n_shingles, min(r.other) AS component_id, any_value(coalesce(m.n, 0))::BIGINT AS n_links
+FROM sizes s JOIN reached r ON r.doc_id = s.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) m ON m.a = s.doc_id GROUP BY s.doc_id
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_ngram_join": ngram_join.sql(),
     "op6_chat_format": chat.sql(),
     "op7_source_mixing": mixing.sql(),
     "op9_url_filter": urls.sql(),
