@@ -60,8 +60,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of what finished steps hold: a broadcast stays in every executor's memory, and a shuffle on its disk,
+    until the driver's JVM collects the plan that made it. A broadcast table takes a whole page of memory, however small."""
+    spark._jvm.System.gc()
+
+
+#: Bytes of an Arrow batch between the JVM and Python: long texts make batches of few rows.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, unless the path they inherit has it."""
+    """Bound Arrow batches by bytes, and make this package importable on the executors unless the path they inherit has it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if any(p and Path(p).resolve() == ROOT for p in paths):
         return
