@@ -6,7 +6,9 @@ An input column that has the name of an appended one is replaced by it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +33,46 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         yield batch.slice(start)
 
 
+@lru_cache(maxsize=1)
+def trim() -> Callable[[int], int] | None:
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Give memory that is free back to the system: Python workers live on between tasks, side by side with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if (own := trim()) is not None:
+        own(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that gives free memory back when its task ends."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def tidied_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group that gives free memory back after each large one."""
+
+    @wraps(run)
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > 1 << 20:
+            release()
+        return out
+
+    return whole
+
+
 def append(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list[list]]], keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``fields`` appended.
 
@@ -52,4 +94,4 @@ def append(df: DataFrame, text: str, fields: list[T.StructField], make: Callable
                 columns = [piece.column(f.name) for f in kept] + [pa.array(v, type=f.type) for v, f in zip(made, own, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidied(run), schema)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vellumine.llm.columns import pieces
+from vellumine.llm.columns import pieces, tidied
 from vellumine.llm.media import open_fs
 from vellumine.session import scratch
 
@@ -56,7 +56,7 @@ EDITS = 0.15
 WALKS = 2
 SAMPLED, AGREE, RECALL = 8, 0.72, 0.97
 #: Share of all coordinates in which windows agree that are verified.
-HAMMING = 0.5
+HAMMING = 0.6
 GRAM = 4
 #: Bytes of items in a block (their index takes some 60 times as much), and of texts that are held against block after block.
 BLOCK_BYTES, GATHER = 2 << 20, 32 << 20
@@ -367,7 +367,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
         if held:
             yield from close()
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidied(run), schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
