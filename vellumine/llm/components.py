@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.skew import join_hot
-from vellumine.session import cut
+from vellumine.session import cut, sweep
 
 
 def components(edges: DataFrame, most: int = 200) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame, most: int = 200) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = join_hot(large, least, "a", "n")
         edges = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct())
+        sweep(edges.sparkSession)
     else:
         raise RuntimeError(f"components didn't settle in {most} rounds")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.columns import append, pieces
+from vellumine.llm.columns import append, pieces, tidied
 from vellumine.llm.skew import small
 from vellumine.session import cut
 
@@ -207,7 +207,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([own] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInArrow(tidied(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     table = np.zeros((1 << bits, len(languages)), np.float32)
     for own, part in counted.groupby("lang"):

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from vellumine.llm.columns import pieces
+from vellumine.llm.columns import pieces, tidied
 from vellumine.session import scratch
 
 #: Bytes in an image's row and in a unit of payload; bytes of an archive; of members read by a partition; of an Arrow batch.
@@ -142,7 +142,7 @@ def write_archives(docs: DataFrame, where: str, doc_id: str = "doc_id", text: st
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds)], names=["name", "directory", "entries", "cuts", "offsets"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows.mapInArrow(run, "name string, directory long, entries long, cuts array<long>, offsets array<long>").write.parquet(f"{where}/{MANIFEST}")
+    rows.mapInArrow(tidied(run), "name string, directory long, entries long, cuts array<long>, offsets array<long>").write.parquet(f"{where}/{MANIFEST}")
 
 
 class DirectoryRanges(InputPartition):
@@ -293,7 +293,7 @@ def describe(media: DataFrame) -> DataFrame:
                 pa.array([hashlib.sha256(i).hexdigest() for i in images]), pa.array(map(feature, payloads)),
             ], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.select("doc_id", "n_bytes", "payload", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "payload", "media").mapInArrow(tidied(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def read_archives(spark: SparkSession, where: str) -> DataFrame:

@@ -44,13 +44,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.columns import pieces
+from vellumine.llm.columns import pieces, tidied, tidied_group
 from vellumine.llm.components import components
 from vellumine.llm.skew import join_hot, small
-from vellumine.session import cut
+from vellumine.session import cut, sweep
 
 #: Bytes of text, or of n-grams, that a task combines; classes in a chunk (numbered in 16 bits; SEVERAL isn't one).
 COMBINED = 16 << 20
+#: Bytes of text that are cut into n-grams at once.
+TEXTS = 1 << 20
 SEVERAL = 65_535
 #: N-grams in a fragment of a cluster, and in the clusters that share a task.
 BLOCK = 2_000_000
@@ -89,7 +91,7 @@ def gram_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     if not len(data):
         return []
     blank = (data == 32) | ((data >= 9) & (data <= 13))
-    size = 1 << max(22, int(len(data)).bit_length())
+    size = 1 << max(20, int(len(data)).bit_length())
     up, down = powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:len(data)], out=sums[1:])
@@ -186,7 +188,7 @@ def fragment_rows(docs: DataFrame, k: int, fragments: int, share: float) -> Data
             state["bytes"] = 0
 
         for b in batches:
-            for piece in pieces(b, "text"):
+            for piece in pieces(b, "text", TEXTS):
                 texts = piece.column("text").to_pylist()
                 for own, row, tag, grams, text in zip(piece.column("id").to_pylist(), piece.column("row").to_pylist(), piece.column("tag").to_pylist(), gram_sets(texts, k), texts, strict=True):
                     key = key_of(grams)
@@ -201,9 +203,10 @@ def fragment_rows(docs: DataFrame, k: int, fragments: int, share: float) -> Data
                 if len(rows) >= 2000:
                     yield batch()
         close()
+        powers.cache_clear()
         yield batch()
 
-    return docs.select("id", row_of().alias("row"), "tag", "text").mapInArrow(run, ROWS)
+    return docs.select("id", row_of().alias("row"), "tag", "text").mapInArrow(tidied(run), ROWS)
 
 
 def lone_grams(rows: DataFrame) -> DataFrame:
@@ -230,7 +233,7 @@ def lone_grams(rows: DataFrame) -> DataFrame:
             out.append((c, mine[mine < SEVERAL].tobytes()))
         return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "owners": pa.array([o[1] for o in out], pa.binary())})
 
-    return rows.where("fragment >= 0").select("fragment", "chunk", "grams", "owners").groupBy("fragment").applyInArrow(count, "chunk long, owners binary")
+    return rows.where("fragment >= 0").select("fragment", "chunk", "grams", "owners").groupBy("fragment").applyInArrow(tidied_group(count), "chunk long, owners binary")
 
 
 def survivors(rows: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +255,7 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
 
     heads = rows.where("fragment = -2").select("chunk", "key", "grams", "owners").distinct()
     lone = lone_grams(rows).select("chunk", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("grams"), "owners")
-    return heads.unionByName(lone).groupBy("chunk").applyInArrow(pick, "key binary, row long").groupBy("key").agg(F.min("row").alias("row"))
+    return heads.unionByName(lone).groupBy("chunk").applyInArrow(tidied_group(pick), "key binary, row long").groupBy("key").agg(F.min("row").alias("row"))
 
 
 def sets_of(docs: DataFrame, kept: DataFrame, k: int) -> DataFrame:
@@ -261,14 +264,15 @@ def sets_of(docs: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            for piece in pieces(b, "text"):
+            for piece in pieces(b, "text", TEXTS):
                 sets = [(key_of(s), s) for s in gram_sets(piece.column("text").to_pylist(), k) if len(s)]
                 new = [(key, s) for key, s in dict(sets).items() if key not in seen]
                 seen.update(key for key, _ in new)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.binary()), pa.array([len(x[1]) for x in new], pa.int64()), pa.array([x[1].tobytes() for x in new], pa.binary())], names=["key", "n", "grams"])
+        powers.cache_clear()
 
     texts = docs.select(row_of().alias("row"), "text").join(small(kept.select("row")), "row", "left_semi")
-    sets = cut(texts.select("text").mapInArrow(run, "key binary, n long, grams binary"))
+    sets = cut(texts.select("text").mapInArrow(tidied(run), "key binary, n long, grams binary"))
     # rows that repeat id and text in several tasks give a set again
     n = sets.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys")).first()
     return sets if n["n"] == n["keys"] else cut(sets.dropDuplicates(["key"]))
@@ -338,11 +342,11 @@ def prefix_postings(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
         first = rank < left[who]
         return pa.table({"gram": pa.array(whole[use][order][first].view(np.int64), pa.int64()), "key": pa.array([keys[16 * i:16 * i + 16] for i in who[first]], pa.binary())})
 
-    parts = cut(sets.select("key", "grams").mapInArrow(cut_up, "chunk long, fragment int, first long, key binary, grams binary, counts binary"))
-    counted = parts.where("fragment >= 0").select("fragment", "chunk", "first", "grams", "counts").groupBy("fragment").applyInArrow(count, "chunk long, first long, counts binary")
+    parts = cut(sets.select("key", "grams").mapInArrow(tidied(cut_up), "chunk long, fragment int, first long, key binary, grams binary, counts binary"))
+    counted = parts.where("fragment >= 0").select("fragment", "chunk", "first", "grams", "counts").groupBy("fragment").applyInArrow(tidied_group(count), "chunk long, first long, counts binary")
     none = F.lit(None).cast("binary")
     heads = parts.where("fragment = -2").select("chunk", "first", "key", "grams", "counts")
-    return heads.unionByName(counted.select("chunk", "first", none.alias("key"), none.alias("grams"), "counts")).groupBy("chunk").applyInArrow(prefix, "gram long, key binary")
+    return heads.unionByName(counted.select("chunk", "first", none.alias("key"), none.alias("grams"), "counts")).groupBy("chunk").applyInArrow(tidied_group(prefix), "gram long, key binary")
 
 
 class Lists:
@@ -509,7 +513,7 @@ def whole_clusters(placed: DataFrame, percent: int, bins: int) -> DataFrame:
             rows += links.rows([keys[i] for i in own])
         return found_table(rows)
 
-    return placed.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(solve, FOUND)
+    return placed.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(tidied_group(solve), FOUND)
 
 
 PARTIAL = "cluster binary, block int, fragment int, counts binary, keys binary, sizes binary, copies binary"
@@ -562,9 +566,9 @@ def cut_clusters(placed: DataFrame, percent: int) -> DataFrame:
             links.add(i, who, overlap[who])
         return found_table(links.rows([head["keys"][16 * i:16 * i + 16] for i in range(m)]))
 
-    parts = placed.select("cluster", "key", "n", "copies", "grams", "fragments").mapInArrow(segments, "cluster binary, fragment int, key binary, n long, copies long, grams binary")
-    counted = parts.groupBy("cluster", "fragment").applyInArrow(count, PARTIAL)
-    return counted.groupBy("cluster", "block").applyInArrow(total, FOUND)
+    parts = placed.select("cluster", "key", "n", "copies", "grams", "fragments").mapInArrow(tidied(segments), "cluster binary, fragment int, key binary, n long, copies long, grams binary")
+    counted = parts.groupBy("cluster", "fragment").applyInArrow(tidied_group(count), PARTIAL)
+    return counted.groupBy("cluster", "block").applyInArrow(tidied_group(total), FOUND)
 
 
 def links_of(sets: DataFrame, clusters: DataFrame, copies: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -593,11 +597,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     rows = cut(fragment_rows(narrow, k, fragments, probed(percent)))
     sets = sets_of(narrow, cut(survivors(rows, percent)), k)
     postings = cut(prefix_postings(sets, percent, fragments))
+    sweep(spark)
     least = postings.groupBy("gram").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     clusters = components(join_hot(postings, least, "gram", "n").select(F.col("key").alias("a"), "b"))
     own = rows.where("fragment = -1").select("id", "tag", "n", "key")
     classes = cut(own.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     pairs = cut(links_of(sets, clusters, classes, percent))
+    sweep(spark)
     found = components(pairs.select("a", "b"))
     links = pairs.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     rooted = cut(classes.join(found.select(F.col("node").alias("key"), "root"), "key", "left").join(links, "key", "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumine.session import cut
 
 #: Rows of one key from which it is joined apart (raised where more than FEW_KEYS keys have them).
-HOT, FEW_KEYS = 1_000, 200_000
+HOT, FEW_KEYS = 100_000, 200_000
 #: Rows up to which a side of short rows is broadcast.
 FEW = 1_000_000
 
@@ -32,8 +32,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     while (n := right.where(F.col(weight) > hot).count()) > FEW_KEYS:
         hot *= 4
     if n:
-        heavy, light = right.where(F.col(weight) > hot), right.where(~(F.col(weight) > hot))
-        out = left.join(F.broadcast(heavy), key).unionByName(left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how))
+        # one broadcast serves both parts
+        heavy, mark = right.where(F.col(weight) > hot).withColumn("__heavy", F.lit(True)), left.columns
+        marked = left.join(F.broadcast(heavy), key, "left")
+        light = marked.where(F.col("__heavy").isNull()).select(*mark).join(right.where(~(F.col(weight) > hot)), key, how)
+        out = marked.where("__heavy").drop("__heavy").unionByName(light)
     else:
         out = left.join(right, key, how)
     return out.unionByName(alone, allowMissingColumns=True) if how == "left" else out

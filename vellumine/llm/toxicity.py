@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.columns import append, pieces
+from vellumine.llm.columns import append, pieces, tidied
 from vellumine.session import cut
 
 #: Bounds of the labelled sample by label (toxic, other): documented parameters of the learning.
@@ -211,7 +211,7 @@ class Lexicon:
 class Matcher(dict):
     """Pieces of text to their hits, (term, errors), remembered up to a bound."""
 
-    MOST, LONGEST = 200_000, 64
+    MOST, LONGEST = 100_000, 64
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
@@ -395,7 +395,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield out()
 
     tox, other = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b")
-    found = drawn.mapInArrow(count, "term string, stem boolean, y int, n long").groupBy("term", "stem").agg(tox, other)
+    found = drawn.mapInArrow(tidied(count), "term string, stem boolean, y int, n long").groupBy("term", "stem").agg(tox, other)
     # what comes to the driver is bounded by the sample: terms that hold in at least LEAST_DOCS toxic documents and few others
     kept = found.where((F.col("term") == "") | ((F.col("a") >= LEAST_DOCS) & (F.col("a") * float(n[0]) > F.col("b") * float(n[1])) & (F.col("a") > 8.0 * F.col("b") * min(1.0, sample[0] / n[1]) * n[1] / (min(1.0, sample[1] / n[0]) * n[0])))).collect()
     whole = next((r for r in kept if r["term"] == ""), None)
@@ -412,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(seen.values(), pa.int64())], names=["term", "y", "n"])
 
     # a term whose misspellings stand in ordinary texts is met only as it is spelled
-    near = drawn.mapInArrow(misspelled, "term string, y int, n long").groupBy("term").agg(tox, other).collect()
+    near = drawn.mapInArrow(tidied(misspelled), "term string, y int, n long").groupBy("term").agg(tox, other).collect()
     strict = frozenset(r["term"] for r in near if r["b"] and math.log((r["a"] + 0.5) / (whole["a"] + 1)) - math.log((r["b"] + 0.5) / (whole["b"] + 1)) < LEAST_ODDS)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +422,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 made = [features(t, matcher) for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column("y"), *[pa.array(c, pa.float64()) for c in zip(*made, strict=True)]], names=["y", "f0", "f1", "f2", "f3"])
 
-    described = drawn.mapInArrow(describe, "y int, f0 double, f1 double, f2 double, f3 double").toPandas()  # one row a sampled document
+    described = drawn.mapInArrow(tidied(describe), "y int, f0 double, f1 double, f2 double, f3 double").toPandas()  # one row a sampled document
     described = described.sort_values(list(described.columns))
     y = described["y"].to_numpy(float)
     weights = regression(shaped(list(described[["f0", "f1", "f2", "f3"]].itertuples(index=False, name=None))), y)
