@@ -129,3 +129,46 @@ def test_tiff():
     at = struct.unpack("<I", x[4:8])[0]
     tags = {t: v for t, _, _, v in (struct.unpack("<HHII", x[at + 2 + 12 * k:at + 14 + 12 * k]) for k in range(struct.unpack("<H", x[at:at + 2])[0]))}
     assert tags[256] == 2 and tags[257] == 1 and x[tags[273]:tags[273] + tags[279]] == bytes(range(6)) and struct.unpack("<HHH", x[tags[258]:tags[258] + 6]) == (8, 8, 8)
+
+
+def test_caps_are_faults(monkeypatch):
+    from vellumine.pdf import build, content, der, document, xfa
+
+    many = build.from_lines([f"line {k}" for k in range(120)], per_page=5)
+    monkeypatch.setattr(document, "MOST_PAGES", 20)
+    with pytest.raises(document.DocumentFault):
+        document.Document(many).pages
+    monkeypatch.setattr(document, "MOST_PAGES", 200)
+    monkeypatch.setattr(document, "MOST_NODES", 10)
+    with pytest.raises(document.DocumentFault):
+        document.Document(many).pages
+    monkeypatch.setattr(content, "MOST_OPERATIONS", 3)
+    with pytest.raises(document.DocumentFault):
+        list(content.operations(b"q Q q Q q"))
+    assert len(list(content.operations(b"q Q q"))) == 3
+    monkeypatch.setattr(xfa, "MOST_FIELDS", 1)
+    with pytest.raises(ValueError):
+        list(xfa.fields('<template><subform name="a"><field name="b"/><field name="c"/></subform></template>'))
+    monkeypatch.setattr(der, "MOST_NODES", 2)
+    with pytest.raises(ValueError):
+        list(der.certificates(bytes.fromhex("30043002300030023000")))
+
+
+def test_broken_pages_are_told_and_leave_the_others(spark):
+    from vellumine.operators import pdf as P
+    from vellumine.pdf import build
+
+    whole = build.from_lines([f"line {k}" for k in range(12)], per_page=5)
+    files = spark.createDataFrame([(1, whole, "x"), (2, build.broken_page(whole), "y"), (3, b"plain", "z"), (None, None, None)], "doc_id long, content binary, own string")
+    text = {(r["doc_id"], r["page_no"]): r["own"] for r in P.relation(files, "text", carry=("own",)).collect()}
+    assert text == {(1, 1): "x", (1, 2): "x", (1, 3): "x", (2, 2): "y", (2, 3): "y"}
+    told = sorted((r["doc_id"] or 0, r["relation"], r["page_no"], "forms in forms" in r["error"]) for r in P.relation(files, "errors", reads=("text", "pages")).collect())
+    assert told == [(0, None, None, False), (2, "text", 1, True), (3, None, None, False)]
+
+
+def test_hostile_rectangles_make_few_cells(spark):
+    from vellumine.operators import pdf as P
+
+    words = spark.createDataFrame([("d", 1, 0, "w", 10.0, 20.0, 30.0)], "doc_id string, page_no int, word_no int, text string, x double, x_end double, y double")
+    links = spark.createDataFrame([("d", 1, 0, "Link", [-1e12, -1e12, 1e12, 1e12])], "doc_id string, page_no int, index int, subtype string, rect array<double>")
+    assert P.linked_words(words, links).count() == 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellumine.pdf.crypt import PERMISSIONS
+
 #: White space that trimming removes (fixed values: Unicode's White_Space), as a class both Java and RE2 read.
 SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: ASCII white space of regular expressions.
@@ -123,8 +125,22 @@ def is_phone(c: Column) -> Column:
     return c.rlike(PHONE)
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+
+
 def is_number(c: Column) -> Column:
-    return c.try_cast("double").isNotNull()
+    return c.rlike(NUMBER)
+
+
+def permission(bits: Column, name: str) -> Column:
+    """Whether the permission flags of an encrypted file allow this."""
+    return bits.bitwiseAND(F.lit(dict(PERMISSIONS)[name])) != 0
+
+
+def compression_ratio(n_bytes: Column, width: Column, height: Column, components: Column, bpc: Column) -> Column:
+    """Stored bytes in whole percent of the bytes of an image's samples."""
+    full = F.call_function("div", width.cast("long") * height * components * bpc, F.lit(8))
+    return F.when(full > 0, F.call_function("div", n_bytes * 100, full))
 
 
 def cmyk(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column, Column]:

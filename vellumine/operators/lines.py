@@ -1,4 +1,9 @@
-"""Lines of documents and what is made of them: kinds, Markdown, HTML, XML, search, words, statistics."""
+"""Lines of documents and what is made of them: kinds, Markdown, HTML, XML, search, words, statistics.
+
+Edge cases: a null text has no lines, an empty one has one blank line; texts of any length are taken whole, though windows
+over a document's lines hold its order in one task; repeated documents share an id's lines where a result is by id; an
+empty table gives no rows; other columns are left out.
+"""
 
 from __future__ import annotations
 
@@ -13,32 +18,32 @@ def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def beside(docs: DataFrame, doc: str = "doc_id", text: str = "text", change=None) -> DataFrame:
+def beside(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, line, t, next_t): lines, trimmed, with the next one beside them.
 
     Neighbours come of the array before it is exploded, so nothing is shuffled.
-    ``change(doc_id, line_no, line)`` may alter lines first.
     """
     parts = docs.select(F.col(doc).alias("doc_id"), F.split(F.col(text), "\n", -1).alias("line"))
-    if change is not None:
-        parts = parts.withColumn("line", F.transform("line", lambda c, i: change(F.col("doc_id"), i, c)))
     parts = parts.withColumn("t", F.transform("line", lambda c: X.trim(c)))
     rows = parts.select("doc_id", F.posexplode(F.arrays_zip("line", "t", F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(0))).alias("next_t"))).alias("line_no", "s"))
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "s.line", "s.t", "s.next_t")
 
 
 def variation(doc_id: Column, line_no: Column, line: Column) -> Column:
-    """A line with a list mark, number, indent or nothing by a rule of document and line: inputs that hold every kind."""
+    """A line as one or two: with a list mark, number or indent, or with a blank or heading line beside it, by a
+    rule of document and line. Inputs then hold every kind of line, and every line is whole."""
     k = F.pmod(doc_id * 7 + line_no * 5, F.lit(11))
+    marked = F.when(k == 0, F.concat(F.lit("- "), line)).when(k == 1, F.concat(F.lit("• "), line)).when(k == 2, F.concat(F.lit("3) "), line)).when(k == 3, F.concat(F.lit("2.1 "), line)).when(k == 4, F.concat(F.lit("    "), line)).otherwise(line)
     return (
-        F.when(k == 0, F.concat(F.lit("- "), line)).when(k == 1, F.concat(F.lit("• "), line)).when(k == 2, F.concat(F.lit("3) "), line))
-        .when(k == 3, F.concat(F.lit("2.1 "), line)).when(k == 4, F.concat(F.lit("    "), line)).when(k == 5, F.lit(""))
-        .when(k == 6, F.translate(F.substring(line, 1, 40), X.LOWER, X.UPPER)).when(k == 7, F.substring(line, 1, 30)).otherwise(line)
+        F.when(k == 5, F.array(marked, F.lit(""))).when(k == 6, F.array(F.translate(F.substring(line, 1, 40), X.LOWER, X.UPPER), marked))
+        .when(k == 7, F.array(F.lit(""), F.substring(line, 1, 30), F.lit(""), marked)).otherwise(F.array(marked))
     )
 
 
-def varied(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("line", variation(F.col("doc_id"), F.col("line_no"), F.col("line")))
+def varied(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Documents whose lines are varied."""
+    parts = F.transform(F.split(F.col(text), "\n", -1), lambda c, i: variation(F.col("doc_id"), i, c))
+    return docs.withColumn(text, F.array_join(F.flatten(parts), "\n"))
 
 
 def _in_order() -> Window:
@@ -116,7 +121,7 @@ def search(rows: DataFrame, needle: str, case_sensitive: bool = False, around: i
     n = len(wanted)
     hay = rows.withColumn("hay", F.col("line") if case_sensitive else X.normalise(F.col("line"))).where(F.contains("hay", F.lit(wanted)))
     # occurrences are counted, overlapping ones too, then each is located from the one before:
-    # work grows with the hits of a line, not with its positions
+    # work grows with the hits of a line, not with its positions (their array is copied for each, so lines of thousands of hits cost more)
     quoted = r"(?=\Q" + wanted.replace("\\E", r"\E\\E\Q") + r"\E)"
     after = lambda found: F.call_function("locate", F.lit(wanted), F.col("hay"), F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0)) + 1)
     many = F.regexp_count("hay", F.lit(quoted))

@@ -3,7 +3,8 @@
 ``relation(files, name)`` takes rows of (doc_id, content) and gives one of ``SCHEMAS``. Bytes are
 parsed in Arrow batches, and what a relation doesn't need isn't read: page contents and images
 are decoded only by the relations that hold them. A file that can't be parsed is a row of the relation
-``errors``, never a failed job.
+``errors``, never a failed job. So is a page: relations of pages give all rows of a page or none, and ``errors`` names
+the pages (or whole files) that the relations of its option ``reads`` leave out, and why.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ SCHEMAS = {
     "postscript": "page_no int, postscript string",
     "rendered": "page_no int, width int, height int, png binary",
     "pixel_rows": "page_no int, y int, dark long, first_x int, last_x int",
-    "errors": "error string",
+    "errors": "relation string, page_no int, error string",
 }
 
 
@@ -82,6 +83,41 @@ def _docs(d: Document) -> Iterator[dict]:
     yield {**i, "n_bytes": len(d.data), "creation_raw": i["creationdate"], "modified_raw": i["moddate"], "custom": list(i["custom"].items()), **{f"can_{k}": v for k, v in i["permissions"].items()}, "xmp": d.metadata()}
 
 
+#: Relations that are read page by page.
+PAGED = frozenset("pages ops items lines words text structured page_stats fonts images image_data placements annotations svg postscript rendered pixel_rows".split())
+#: Relations whose faults ``errors`` tells unless it is asked for others.
+READS = ("text",)
+
+
+def parts_of(d: Document, name: str, pages: list[Page], options: dict) -> Iterator[tuple[list[dict], dict | None]]:
+    """The rows of a relation, page by page where it has pages; in place of rows that can't be read, a row of ``errors``."""
+    own = options | {"fonts": {}}
+    for part in [[p] for p in pages] if name in PAGED else [pages]:
+        try:
+            yield list(rows_of(d, name, part, own)), None
+        except Exception as e:  # a hostile page is a row of errors, not a failed task
+            yield [], {"relation": name, "page_no": part[0].number if name in PAGED else None, "error": told(e)}
+
+
+def told(e: Exception) -> str:
+    return str(e) if isinstance(e, DocumentFault) else f"{type(e).__name__}: {e}"[:500]
+
+
+def file_rows(data: bytes, name: str, options: dict, first: int = 1, last: int = 0) -> Iterator[list[dict]]:
+    """The rows of a relation of one file, in parts; of ``errors``, what the relations ``reads`` can't read."""
+    try:
+        d = Document(data, options.get("password", ""))
+        pages = d.pages[max(1, first) - 1:last if last > 0 else None]
+    except Exception as e:  # a hostile file is a row of errors, not a failed task
+        if name == "errors":
+            yield [{"error": told(e)}]
+        return
+    reads = options.get("reads") or READS
+    for own in (reads.split(",") if isinstance(reads, str) else reads) if name == "errors" else (name,):
+        for rows, fault in parts_of(d, own, pages, options):
+            yield ([fault] if fault else []) if name == "errors" else rows
+
+
 def rows_of(d: Document, name: str, pages: list[Page], options: dict) -> Iterator[dict]:
     """The rows of one relation of a document."""
     if name == "docs":
@@ -94,7 +130,7 @@ def rows_of(d: Document, name: str, pages: list[Page], options: dict) -> Iterato
             for n, (op, x) in enumerate(operations(p.contents())):
                 yield {"page_no": p.number, "seq": n, "op": op, "family": OPERATORS.get(op), "operands": json.dumps([written(v) if isinstance(v, (bytes, str)) else plain(v) for v in x], ensure_ascii=False)}
     elif name in ("items", "lines", "words", "text", "structured", "page_stats", "placements"):
-        fonts: dict = {}
+        fonts: dict = options.get("fonts", {})
         for p in pages:
             reader = TextReader(d, p, options.get("cid_text"), fonts)
             yield from _text_rows(reader, reader.run(), name, p, options)
@@ -165,47 +201,40 @@ def _text_rows(reader: TextReader, items: list[dict], name: str, p: Page, option
 ROWS = 5_000
 
 
-def relation(files: DataFrame, name: str, doc_id: str = "doc_id", content: str = "content", first: int = 1, last: int = 0, **options: Any) -> DataFrame:
-    """A relation of the files, keyed by their id. Pages from ``first`` to ``last`` (0: the end)."""
-    key = files.schema[doc_id]
-    schema = T.StructType([T.StructField("doc_id", key.dataType), *T._parse_datatype_string(SCHEMAS[name]).fields])
+def relation(files: DataFrame, name: str, doc_id: str = "doc_id", content: str = "content", first: int = 1, last: int = 0, carry: tuple[str, ...] = (), **options: Any) -> DataFrame:
+    """A relation of the files, keyed by their id, with columns of the files ``carry``. Pages from ``first`` to ``last`` (0: the end).
+
+    Edge cases: null or empty content is a file that can't be parsed; repeated rows give their rows again; a null
+    id stays null; an empty table gives no rows; other columns are left out."""
+    schema = T.StructType([T.StructField("doc_id", files.schema[doc_id].dataType), *T._parse_datatype_string(SCHEMAS[name]).fields, *(files.schema[c] for c in carry)])
     arrow = to_arrow_schema(schema)
-    names = [f.name for f in schema.fields]
-    password = options.get("password", "")
+    names = [f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields]
     cid_dir = options.pop("cid_dir", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
         own_options = options | ({"cid_text": cid_tables(cid_dir)} if cid_dir else {})
+        held: list[dict] = []
+        owners: list[int] = []
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], type=arrow.field(n).type) for n in names], schema=arrow)
+        def out(b: pa.RecordBatch) -> pa.RecordBatch:
+            at = pa.array(owners, pa.int32())
+            kept = {c: b.column(c).take(at) for c in ("doc_id", *carry)}
+            made = [pa.array([r.get(n) for r in held], type=arrow.field(n).type) for n in names]
             held.clear()
-            return batch
+            owners.clear()
+            return pa.RecordBatch.from_arrays([kept["doc_id"], *made, *(kept[c] for c in carry)], schema=arrow)
 
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for k, own in enumerate(ids):
-                data = b.column("content")[k].as_py()
-                error = None
-                try:
-                    d = Document(data or b"", password)
-                    pages = d.pages[max(1, first) - 1:last if last > 0 else None]
-                    if name != "errors":
-                        for r in rows_of(d, name, pages, own_options):
-                            held.append({**r, "doc_id": own})
-                            if len(held) >= ROWS:
-                                yield out()
-                except DocumentFault as e:
-                    error = str(e)
-                except Exception as e:  # a hostile file is a row of errors, not a failed task
-                    error = f"{type(e).__name__}: {e}"
-                if name == "errors" and error is not None:
-                    held.append({"doc_id": own, "error": error[:500]})
-        if held:
-            yield out()
-
-    return files.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content")).mapInArrow(run, schema)
+            for k in range(b.num_rows):
+                for rows in file_rows(b.column("content")[k].as_py() or b"", name, own_options, first, last):
+                    held += rows
+                    owners += [k] * len(rows)
+                    if len(held) >= ROWS:
+                        yield out(b)
+            if held:
+                yield out(b)
+
+    return files.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content"), *carry).mapInArrow(run, schema)
 
 
 def made(fn: Callable[[Any], Any], argument: Column, kind: str) -> Column:
@@ -223,10 +252,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * n) if df.rdd.getNumPartitions() < 2 * n else df
 
 
-def synthesise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", compact: bool = False, per_page: int = build.PER_PAGE) -> DataFrame:
-    """(doc_id, content): a PDF of each text, a line for each of its lines that isn't blank."""
+def synthesise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", compact: bool = False, per_page: int = build.PER_PAGE, carry: tuple[str, ...] = (), kerned: bool = True) -> DataFrame:
+    """(doc_id, content) and columns ``carry``: a PDF of each text, a line for each of its lines that isn't blank."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda s: X.trim(s)), lambda s: s != "")
-    return spread(docs.select(F.col(doc_id).alias("doc_id"), lines.alias("lines"))).select("doc_id", made(lambda x: build.from_lines(list(x), per_page=per_page, compact=compact), F.col("lines"), "binary").alias("content"))
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), lines.alias("lines"), *carry)).select("doc_id", *carry, made(lambda x: build.from_lines(list(x), per_page=per_page, compact=compact, kerned=kerned), F.col("lines"), "binary").alias("content"))
+
+
+def furnish(docs: DataFrame, doc_id: str = "doc_id", title: str = "title") -> DataFrame:
+    """(doc_id, content): for each row a PDF with links, notes, fields, an attachment, an image, layers, a destination and a script, by its id."""
+    parts = F.struct(F.col(doc_id).cast("long").alias("number"), F.col(title).alias("title"))
+
+    def apply(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([build.furnished(int(n), t or "") for n, t in zip(rows["number"], rows["title"], strict=True)])
+
+    return spread(docs.select(doc_id, title)).select(F.col(doc_id).alias("doc_id"), F.pandas_udf(apply, "binary")(parts).alias("content"))
+
+
+def broken(files: DataFrame) -> DataFrame:
+    """Files of which those with ``break`` name a first page's contents that hold a form within itself: such a page can't be read."""
+    return files.select("doc_id", F.when(F.col("break"), made(build.broken_page, F.col("content"), "binary")).otherwise(F.col("content")).alias("content"))
 
 
 def split(files: DataFrame, first: int = 1, last: int = 0) -> DataFrame:
@@ -290,11 +334,18 @@ def native_extension(name: Column) -> Column:
     return F.when(name == "DCTDecode", "jpg").when(name == "JPXDecode", "jp2").when(name == "CCITTFaxDecode", "tif").when(name == "JBIG2Decode", "jb2").otherwise("png")
 
 
+#: Points that a page's side has at most.
+REACH = 14_400.0
+
+
 def linked_words(words: DataFrame, annotations: DataFrame, cell: float = 64.0) -> DataFrame:
     """Words under link annotations: a range join by cells of the page, so equal keys meet and nothing is crossed."""
     span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
-    w = words.select("doc_id", "page_no", "word_no", "text", "x", "x_end", "y", F.explode(span(F.col("x"), F.col("x_end"))).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    near = words.where(F.greatest(F.abs("x"), F.abs("x_end"), F.abs("y")) <= REACH)
+    w = near.select("doc_id", "page_no", "word_no", "text", "x", "x_end", "y", F.explode(span(F.col("x"), F.col("x_end"))).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     a = annotations.where("subtype = 'Link' AND rect IS NOT NULL").select("doc_id", "page_no", F.col("index").alias("link"), F.least(F.col("rect")[0], F.col("rect")[2]).alias("l"), F.greatest(F.col("rect")[0], F.col("rect")[2]).alias("r"), F.least(F.col("rect")[1], F.col("rect")[3]).alias("b"), F.greatest(F.col("rect")[1], F.col("rect")[3]).alias("t"))
+    # no page is larger: a hostile rectangle makes as many cells as a page has, not more
+    a = a.select("doc_id", "page_no", "link", *[F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col(c))).alias(c) for c in "lrbt"])
     a = a.withColumn("cx", F.explode(span(F.col("l"), F.col("r")))).withColumn("cy", F.explode(span(F.col("b"), F.col("t"))))
     met = w.join(a, ["doc_id", "page_no", "cx", "cy"]).where("x <= r AND x_end >= l AND y BETWEEN b AND t")
     return met.select("doc_id", "page_no", "link", "word_no", "text").distinct()

@@ -111,6 +111,50 @@ def from_lines(lines: list[str], title: str | None = None, per_page: int = PER_P
     return w.finish(root, info, compact=compact)
 
 
+def furnished(number: int, title: str) -> bytes:
+    """A document of one page with one or more of each interactive thing, named and placed by its number."""
+    w = Writer()
+    root, pages, page = w.add(), w.add(), w.add()
+    link = w.add({"Type": Name("Annot"), "Subtype": Name("Link"), "Rect": [10, 20, 110 + number % 50, 40], "A": {"S": Name("URI"), "URI": f"https://example.com/{number}".encode()}})
+    note = w.add({"Type": Name("Annot"), "Subtype": Name("Text"), "Rect": [200, 200, 220, 220], "Contents": b"\xfe\xff" + title.encode("utf-16-be"), "F": number % 4})
+    field = w.add({"FT": Name("Tx"), "T": f"field{number}".encode(), "V": f"value {number}".encode(), "Ff": number % 8, "MaxLen": number % 100 + 1, "Subtype": Name("Widget"), "Rect": [0, 0, 100, 20]})
+    below = w.add({"T": b"below", "FT": Name("Btn"), "Subtype": Name("Widget"), "Rect": [0, 30, 10, 40]})
+    group = w.add({"T": f"group{number}".encode(), "Kids": [below]})
+    data = f"attachment of {number}\n".encode() * (number % 5 + 1)
+    held = w.add(Stream({"Type": Name("EmbeddedFile"), "Subtype": Name("text/plain"), "Params": {"Size": len(data)}, "Filter": Name("FlateDecode")}, zlib.compress(data)))
+    attachment = w.add({"Type": Name("Filespec"), "F": f"../notes{number}.txt".encode(), "EF": {"F": held}, "Desc": b"notes"})
+    side = number % 7 + 1
+    kind, parts = (("DeviceGray", 1), ("DeviceRGB", 3), ("DeviceCMYK", 4))[number % 3]
+    image = w.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": side, "Height": 2, "ColorSpace": Name(kind), "BitsPerComponent": 8}, bytes((number + k) % 256 for k in range(2 * side * parts))))
+    layers = [w.add({"Type": Name("OCG"), "Name": f"layer {number}.{k}".encode()}) for k in range(3)]
+    body = w.add(Stream({}, f"q {side * 10} 0 0 20 50 60 cm /Im1 Do Q".encode()))
+    w.put(page, {"Type": Name("Page"), "Parent": pages, "MediaBox": [0, 0, 300, 400], "Rotate": 90 * (number % 4), "Annots": [link, note], "Resources": {"XObject": {"Im1": image}}, "Contents": body})
+    w.put(pages, {"Type": Name("Pages"), "Kids": [page], "Count": 1})
+    w.put(root, {
+        "Type": Name("Catalog"), "Pages": pages, "AcroForm": {"Fields": [field, group]}, "OCProperties": {"OCGs": layers, "D": {"OFF": [layers[number % 3]]}},
+        "Names": {"EmbeddedFiles": {"Names": [f"notes{number}".encode(), attachment]}, "Dests": {"Names": [f"place{number}".encode(), [page, Name("Fit")]]}, "JavaScript": {"Names": [b"greet", {"S": Name("JavaScript"), "JS": f"app.alert({number})".encode()}]}},
+    })
+    info = w.add({"Title": b"\xfe\xff" + title.encode("utf-16-be"), "Author": f"author {number}".encode(), "CreationDate": b"D:20240102030405Z"})
+    return w.finish(root, info)
+
+
+def broken_page(data: bytes) -> bytes:
+    """The file with an incremental update in which the first page shows forms within forms, more than are entered."""
+    d = Document(data)
+    page = d.pages[0]
+    n = max(d.table) + 1
+    deep = 20
+    form = lambda k: Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, 1, 1], "Resources": {"XObject": {"Fm": Ref(n + k + 1, 0)}}}, b"/Fm Do")
+    own = {**page.attrs, "Resources": {"XObject": {"Fm": Ref(n, 0)}}, "Contents": Ref(n + deep, 0)}
+    out, places = bytearray(data), {}
+    for num, value in ((page.ref.num, own), *((n + k, form(k)) for k in range(deep)), (n + deep, Stream({}, b"/Fm Do"))):
+        places[num] = len(out)
+        out += f"{num} 0 obj\n".encode() + serialise(value) + b"\nendobj\n"
+    start = len(out)
+    out += b"xref\n" + b"".join(f"{k} 1\n{places[k]:010d} 00000 n \n".encode() for k in sorted(places))
+    return bytes(out) + b"trailer\n" + serialise({"Size": n + deep + 1, "Root": d.trailer["Root"], "Prev": int(data[data.rindex(b"startxref") + 9:].split()[0])}) + f"\nstartxref\n{start}\n%%EOF\n".encode()
+
+
 def from_pages(pages: list[Page]) -> bytes:
     """The pages, of one document or several, as a document; what they refer to comes along, each object once."""
     w = Writer()

@@ -9,7 +9,7 @@ from functools import lru_cache
 from typing import Any
 
 from vellumine.pdf import filters
-from vellumine.pdf.document import Document, Page
+from vellumine.pdf.document import Document, DocumentFault, Page
 from vellumine.pdf.syntax import END, Mark, Name, Parser, Ref, Stream, SyntaxFault, Word
 
 #: Operators by family (fixed values).
@@ -23,11 +23,11 @@ MOST_OPERATIONS, MOST_FORMS = 5_000_000, 16
 
 
 def operations(data: bytes) -> Iterator[tuple[str, list]]:
-    """(operator, operands) in order; inline images come as BI with their attributes and bytes."""
+    """(operator, operands) in order; inline images come as BI with their attributes and bytes. Too many are a fault."""
     p = Parser(data, references=False)
     operands: list = []
     n = 0
-    while n < MOST_OPERATIONS:
+    while True:
         try:
             x = p.object()
         except SyntaxFault:
@@ -36,6 +36,8 @@ def operations(data: bytes) -> Iterator[tuple[str, list]]:
             return
         if isinstance(x, Word):
             n += 1
+            if n > MOST_OPERATIONS:
+                raise DocumentFault(f"more than {MOST_OPERATIONS} operations in a content stream")
             if x == "BI":
                 attrs: dict = {}
                 while (k := p.object()) is not END and not (isinstance(k, Word) and k == "ID"):
@@ -268,6 +270,7 @@ class TextReader:
         self.doc, self.page, self.cid_text = doc, page, cid_text
         self.items: list[dict] = []
         self.images: list[dict] = []
+        self.opened: list[int] = []  # forms that are being shown
         self.fonts = fonts if fonts is not None else {}
 
     def run(self) -> list[dict]:
@@ -352,15 +355,22 @@ class TextReader:
                     continue
                 if self.doc.resolve(form.attrs.get("Subtype")) == "Image":
                     self.images.append({"name": str(x[-1]), "matrix": s.ctm})
-                elif depth < MOST_FORMS:
+                elif isinstance(own[str(x[-1])], Ref) and own[str(x[-1])].num in self.opened:
+                    continue  # a form that shows itself
+                elif depth >= MOST_FORMS:
+                    raise DocumentFault(f"forms in forms, over {MOST_FORMS} deep")
+                else:
                     inner = self.doc.resolve(form.attrs.get("Resources"))
                     matrix = self.doc.resolve(form.attrs.get("Matrix"))
                     below = s.copy()
                     if isinstance(matrix, list) and len(matrix) == 6:
                         below.ctm = times(tuple(number(self.doc.resolve(v)) for v in matrix), s.ctm)
+                    self.opened.append(own[str(x[-1])].num if isinstance(own[str(x[-1])], Ref) else -1)
                     try:
                         self.stream(self.doc.decoded(form), inner if isinstance(inner, dict) else resources, below, depth + 1)
                     except filters.FilterFault:
                         continue
+                    finally:
+                        self.opened.pop()
 
 

@@ -8,8 +8,6 @@ from collections.abc import Iterator
 #: Names of object identifiers (fixed values).
 NAMES = {"2.5.4.3": "CN", "2.5.4.6": "C", "2.5.4.7": "L", "2.5.4.8": "ST", "2.5.4.10": "O", "2.5.4.11": "OU", "2.5.4.5": "serialNumber", "1.2.840.113549.1.9.1": "emailAddress", "0.9.2342.19200300.100.1.25": "DC"}
 ALGORITHMS = {"1.2.840.113549.1.1.5": "SHA1-RSA", "1.2.840.113549.1.1.11": "SHA256-RSA", "1.2.840.113549.1.1.12": "SHA384-RSA", "1.2.840.113549.1.1.13": "SHA512-RSA", "1.2.840.10045.4.3.2": "ECDSA-SHA256", "1.2.840.10045.4.3.3": "ECDSA-SHA384"}
-#: Reasons of revocation by code (fixed values).
-REASONS = {0: "unspecified", 1: "keyCompromise", 2: "cACompromise", 3: "affiliationChanged", 4: "superseded", 5: "cessationOfOperation", 6: "certificateHold", 8: "removeFromCRL", 9: "privilegeWithdrawn", 10: "aACompromise"}
 MOST_NODES, DEPTH = 20_000, 24
 
 
@@ -82,9 +80,11 @@ def certificate(data: bytes, at: int, end: int) -> dict | None:
 
 
 def certificates(blob: bytes) -> Iterator[dict]:
-    """Certificates anywhere in a PKCS#7 message, with digests of their bytes."""
+    """Certificates anywhere in a PKCS#7 message, with digests of their bytes; too many elements are a fault."""
     todo, seen = [(0, len(blob), 0)], 0
-    while todo and seen < MOST_NODES:
+    while todo:
+        if seen >= MOST_NODES:
+            raise ValueError(f"more than {MOST_NODES} elements in a signature")
         at, end, depth = todo.pop(0)
         for tag, start, a, b in nodes(blob, at, end):
             seen += 1

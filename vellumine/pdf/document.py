@@ -12,6 +12,7 @@ from vellumine.pdf.syntax import Name, Parser, Ref, Stream, SyntaxFault, text_of
 
 #: Bounds on what hostile files can ask for.
 MOST_PAGES, MOST_NODES, MOST_OBJECTS = 200_000, 400_000, 5_000_000
+MOST_ACTIONS = 1_000
 INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate")
 
 
@@ -236,11 +237,13 @@ class Document:
     # --- pages ---
 
     def page_tree(self) -> Iterator[Page]:
-        """Leaves in order, with what their ancestors give them. A node is visited once."""
+        """Leaves in order, with what their ancestors give them. A node is visited once; too many are a fault."""
         todo: list[tuple[Any, dict]] = [(self.root.get("Pages"), {})]
         seen: set = set()
         number = 0
-        while todo and len(seen) < MOST_NODES:
+        while todo:
+            if len(seen) >= MOST_NODES:
+                raise DocumentFault(f"more than {MOST_NODES} nodes in the page tree")
             ref, above = todo.pop()
             if isinstance(ref, Ref):
                 if ref.num in seen:
@@ -253,8 +256,10 @@ class Document:
             kids = self.resolve(node.get("Kids"))
             if node.get("Type") == "Pages" or (isinstance(kids, list) and node.get("Type") != "Page"):
                 todo += [(k, own) for k in reversed(kids if isinstance(kids, list) else [])]
-            elif node.get("Type") == "Page" and number < MOST_PAGES:
+            elif node.get("Type") == "Page":
                 number += 1
+                if number > MOST_PAGES:
+                    raise DocumentFault(f"more than {MOST_PAGES} pages")
                 yield Page(self, number, {**own, **node}, ref if isinstance(ref, Ref) else None)
 
     # --- metadata ---
@@ -316,7 +321,7 @@ class Document:
     def destinations(self) -> list[tuple[str, str]]:
         own = self.resolve(self.root.get("Dests"))
         old = [(k, self.resolve(v)) for k, v in own.items()] if isinstance(own, dict) else []
-        return [(k, written(self.deep(v.get("D") if isinstance(v, dict) else v))[:500]) for k, v in dict(old + self.names("Dests")).items()]
+        return [(k, written(self.deep(v.get("D") if isinstance(v, dict) else v))) for k, v in dict(old + self.names("Dests")).items()]
 
     # --- what pages and the catalog hold ---
 
@@ -329,9 +334,11 @@ class Document:
         return [self.number(x, 0.0) for x in v] if isinstance(v, list) and len(v) == 4 else None
 
     def actions(self, value: Any) -> list[dict]:
-        """An action and those that follow it, each once."""
+        """An action and those that follow it, each once; too many are a fault."""
         out, todo, seen = [], [value], set()
-        while todo and len(out) < 1000:
+        while todo:
+            if len(out) >= MOST_ACTIONS:
+                raise DocumentFault(f"more than {MOST_ACTIONS} actions in a chain")
             ref = todo.pop(0)
             if isinstance(ref, Ref):
                 if ref.num in seen:
@@ -364,7 +371,7 @@ class Document:
                 "contents": text_of(self.resolve(a.get("Contents"))), "name": text_of(nm), "flags": int(self.number(a.get("F"), 0) or 0),
                 "color": [self.number(x, 0.0) for x in color] if isinstance(color, list) else None,
                 "border": self.border(a),
-                "dest": written(dest)[:500] if dest is not None else None, "actions": self.actions(a.get("A")),
+                "dest": written(dest) if dest is not None else None, "actions": self.actions(a.get("A")),
             }
 
     def border(self, a: dict) -> float:

@@ -42,13 +42,15 @@ def fields(data: str) -> Iterator[dict]:
     root = parsed(packets(data).get("template", ""))
     todo = [(root, "")] if root is not None else []
     n = 0
-    while todo and n < MOST_FIELDS:
+    while todo:
         e, path = todo.pop()
         kind = local(e)
         name = e.get("name", "")
         own = ".".join(x for x in (path, name) if x) if kind in ("subform", "field", "exclGroup", "area", "draw") else path
         if kind == "field":
             n += 1
+            if n > MOST_FIELDS:
+                raise ValueError(f"more than {MOST_FIELDS} fields in a form")
             ui = next((local(x) for u in e if local(u) == "ui" for x in u), "textEdit")
             text = lambda part: next(("".join(v.itertext()).strip() for v in e if local(v) == part), None)  # noqa: B023, E731
             yield {"name": name, "path": own, "ui": ui, "value": text("value"), "caption": text("caption"), "items": [("".join(x.itertext())).strip() for i in e if local(i) == "items" for x in i], "access": e.get("access", "open")}

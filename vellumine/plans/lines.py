@@ -14,19 +14,20 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def varied(spark: SparkSession, d: str) -> DataFrame:
-    return L.varied(L.lines(documents(spark, d)))
+    return L.lines(L.varied(documents(spark, d)))
 
 
 def varied_beside(spark: SparkSession, d: str) -> DataFrame:
-    return L.beside(documents(spark, d), change=L.variation)
+    return L.beside(L.varied(documents(spark, d)))
 
 
 # --- SQL parts -------------------------------------------------------------------------------
 
 LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
-VARIED = f"""{LINES}, varied AS (
-  SELECT doc_id, line_no, CASE (doc_id * 7 + line_no * 5) % 11 WHEN 0 THEN '- ' || line WHEN 1 THEN '• ' || line WHEN 2 THEN '3) ' || line WHEN 3 THEN '2.1 ' || line
-    WHEN 4 THEN '    ' || line WHEN 5 THEN '' WHEN 6 THEN translate(substr(line, 1, 40), '{X.LOWER}', '{X.UPPER}') WHEN 7 THEN substr(line, 1, 30) ELSE line END AS line FROM lines)"""
+VARIED = f"""parts AS (
+  SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda line, i: CASE (doc_id * 7 + (i - 1) * 5) % 11 WHEN 0 THEN ['- ' || line] WHEN 1 THEN ['• ' || line] WHEN 2 THEN ['3) ' || line] WHEN 3 THEN ['2.1 ' || line]
+    WHEN 4 THEN ['    ' || line] WHEN 5 THEN [line, ''] WHEN 6 THEN [translate(substr(line, 1, 40), '{X.LOWER}', '{X.UPPER}'), line] WHEN 7 THEN ['', substr(line, 1, 30), '', line] ELSE [line] END)) AS l FROM documents
+), varied AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM parts)"""
 
 
 def s_trim(c: str) -> str:

@@ -108,14 +108,14 @@ SELECT p_partkey, round(CASE WHEN k >= 1 THEN 0 ELSE (1 - r - k) / (1 - k) END,
 
 def q_permissions(spark, d):
     p = F.col("p_partkey")
-    return table(spark, d, "part").groupBy(*[((p.bitwiseAND(bit)) != 0).alias(n) for n, bit in (("print", 4), ("modify", 8), ("copy", 16), ("annotate", 32))]).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "part").groupBy(*[X.permission(p, n).alias(n) for n in ("print", "modify", "copy", "annotate")]).agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_ratio(spark, d):
     """Compression of made-up images in whole percent, and their native extensions."""
     p = table(spark, d, "part").withColumn("w", F.col("p_size") + 1).withColumn("f", F.element_at(F.array(*map(F.lit, ("DCTDecode", "JPXDecode", "CCITTFaxDecode", "JBIG2Decode", "FlateDecode"))), (F.col("p_partkey") % 5 + 1).cast("int")))
     full = F.expr("(w * w * 3 * 8) div 8")
-    return p.groupBy(P.native_extension(F.col("f")).alias("extension")).agg(F.sum(F.expr("(p_partkey * 100) div ((w * w * 3 * 8) div 8)")).alias("percent"), F.sum(full).alias("bytes"))
+    return p.groupBy(P.native_extension(F.col("f")).alias("extension")).agg(F.sum(X.compression_ratio(F.col("p_partkey"), F.col("w"), F.col("w"), F.lit(3), F.lit(8))).alias("percent"), F.sum(full).alias("bytes"))
 
 
 S_RATIO = """SELECT ['jpg', 'jp2', 'tif', 'jb2', 'png'][p_partkey % 5 + 1] AS extension, sum((p_partkey * 100) // (((p_size + 1) * (p_size + 1) * 3 * 8)::BIGINT // 8))::BIGINT AS percent, sum(((p_size + 1) * (p_size + 1) * 3 * 8)::BIGINT // 8)::BIGINT AS bytes FROM part GROUP BY 1"""
@@ -124,11 +124,11 @@ S_RATIO = """SELECT ['jpg', 'jp2', 'tif', 'jb2', 'png'][p_partkey % 5 + 1] AS ex
 def q_validators(spark, d):
     w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
     bare = F.regexp_replace("w", r"[.,;:]+$", "")
-    return w.select(bare.alias("w")).groupBy(F.col("w").rlike(r"^[+-]?[0-9]+([.][0-9]+)?\z").alias("number"), X.is_email(F.col("w")).alias("email"), X.is_phone(F.col("w")).alias("phone")).agg(F.count(F.lit(1)).alias("n"))
+    return w.select(bare.alias("w")).groupBy(X.is_number(F.col("w")).alias("number"), X.is_email(F.col("w")).alias("email"), X.is_phone(F.col("w")).alias("phone")).agg(F.count(F.lit(1)).alias("n"))
 
 
 S_VALIDATORS = f"""WITH w AS (SELECT regexp_replace(unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), '[.,;:]+$', '') AS w FROM documents)
-SELECT regexp_matches(w, '^[+-]?[0-9]+([.][0-9]+)?\\z') AS number, regexp_matches(w, '{X.EMAIL}') AS email, regexp_matches(w, '{X.PHONE}') AS phone, count(*) AS n FROM w GROUP BY ALL"""
+SELECT regexp_matches(w, '{X.NUMBER}') AS number, regexp_matches(w, '{X.EMAIL}') AS email, regexp_matches(w, '{X.PHONE}') AS phone, count(*) AS n FROM w GROUP BY ALL"""
 
 
 def q_script(spark, d):

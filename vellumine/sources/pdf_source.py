@@ -18,8 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vellumine.operators.pdf import ROWS, SCHEMAS, rows_of
-from vellumine.pdf.document import Document
+from vellumine.operators.pdf import ROWS, SCHEMAS, file_rows
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -80,18 +79,12 @@ class PdfReader(DataSourceReader):
             return batch
 
         for path in partition.paths:
-            try:
-                with fs.open_input_file(path) as f:
-                    d = Document(f.read(), self.options.get("password", ""))
-                pages = [] if self.last < 0 else d.pages[max(1, self.first) - 1:self.last or None]
-                rows: Iterable[dict] = rows_of(d, relation, pages, self.options) if relation != "errors" else ()
-                for r in rows:
-                    held.append({**r, "path": path})
-                    if len(held) >= ROWS:
-                        yield out()
-            except Exception as e:  # a broken file is a row of errors
-                if relation == "errors":
-                    held.append({"path": path, "error": f"{type(e).__name__}: {e}"[:500]})
+            with fs.open_input_file(path) as f:
+                data = f.read()
+            for rows in file_rows(data, relation, self.options, self.first, self.last) if self.last >= 0 else ():
+                held += [{**r, "path": path} for r in rows]
+                if len(held) >= ROWS:
+                    yield out()
         if held:
             yield out()
 
