@@ -172,3 +172,21 @@ def test_hostile_rectangles_make_few_cells(spark):
     words = spark.createDataFrame([("d", 1, 0, "w", 10.0, 20.0, 30.0)], "doc_id string, page_no int, word_no int, text string, x double, x_end double, y double")
     links = spark.createDataFrame([("d", 1, 0, "Link", [-1e12, -1e12, 1e12, 1e12])], "doc_id string, page_no int, index int, subtype string, rect array<double>")
     assert P.linked_words(words, links).count() == 1
+
+
+def test_links_meet_words_in_strips_and_are_not_broadcast(spark):
+    from vellumine.operators import pdf as P
+
+    spots = [-300.0, -256.0, -1.0, 0.0, 255.9, 256.0, 511.0, 512.0, None]
+    words = [("d", k % 2, n, "w", x, None if x is None else x + 40, y) for n, (x, y, k) in enumerate((x, y, k) for x in spots for y in spots for k in range(2))]
+    rects = [[0.0, 0.0, 256.0, 256.0], [512.0, 600.0, -256.0, -300.0], [255.9, 255.9, 255.9, 255.9], [-1e12, 256.0, 1e12, 511.0], None]
+    links = [("d", k % 2, n, "Link", r) for n, (r, k) in enumerate((r, k) for r in rects for k in range(2))]
+    w = spark.createDataFrame(words + words[:50], "doc_id string, page_no int, word_no int, text string, x double, x_end double, y double")
+    a = spark.createDataFrame([*links, ("d", 0, 99, "Text", rects[0])], "doc_id string, page_no int, index int, subtype string, rect array<double>")
+    under = lambda x, y, r: x <= max(r[0], r[2]) and x + 40 >= min(r[0], r[2]) and min(r[1], r[3]) <= y <= max(r[1], r[3])
+    full = sorted((n, i) for _, p, n, _, x, _, y in words for _, q, i, _, r in links if p == q and r and x is not None and y is not None and under(x, y, r))
+    met = P.linked_words(w, a)
+    assert sorted((r["word_no"], r["link"]) for r in met.collect()) == full and len(full) > 100
+    # a row a strip: broadcast, these rows filled the driver, which counts them as one
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and plan.count("explode(") == 1

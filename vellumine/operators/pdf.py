@@ -338,14 +338,16 @@ def native_extension(name: Column) -> Column:
 REACH = 14_400.0
 
 
-def linked_words(words: DataFrame, annotations: DataFrame, cell: float = 64.0) -> DataFrame:
-    """Words under link annotations: a range join by cells of the page, so equal keys meet and nothing is crossed."""
-    span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
-    near = words.where(F.greatest(F.abs("x"), F.abs("x_end"), F.abs("y")) <= REACH)
-    w = near.select("doc_id", "page_no", "word_no", "text", "x", "x_end", "y", F.explode(span(F.col("x"), F.col("x_end"))).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+def linked_words(words: DataFrame, annotations: DataFrame, strip: float = 256.0) -> DataFrame:
+    """Words under link annotations: a range join by strips of the page, so equal keys meet and nothing is crossed.
+
+    A word has a base line and so one strip; only links are repeated, a row for each strip they cross. The planner
+    doesn't count those rows and takes the links for small enough to broadcast: the sides are merged instead.
+    """
+    w = words.where(F.greatest(F.abs("x"), F.abs("x_end"), F.abs("y")) <= REACH).select("doc_id", "page_no", "word_no", "text", "x", "x_end", "y", F.floor(F.col("y") / strip).alias("strip_no"))
     a = annotations.where("subtype = 'Link' AND rect IS NOT NULL").select("doc_id", "page_no", F.col("index").alias("link"), F.least(F.col("rect")[0], F.col("rect")[2]).alias("l"), F.greatest(F.col("rect")[0], F.col("rect")[2]).alias("r"), F.least(F.col("rect")[1], F.col("rect")[3]).alias("b"), F.greatest(F.col("rect")[1], F.col("rect")[3]).alias("t"))
-    # no page is larger: a hostile rectangle makes as many cells as a page has, not more
+    # no page is larger: a hostile rectangle makes as many strips as a page has, not more
     a = a.select("doc_id", "page_no", "link", *[F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col(c))).alias(c) for c in "lrbt"])
-    a = a.withColumn("cx", F.explode(span(F.col("l"), F.col("r")))).withColumn("cy", F.explode(span(F.col("b"), F.col("t"))))
-    met = w.join(a, ["doc_id", "page_no", "cx", "cy"]).where("x <= r AND x_end >= l AND y BETWEEN b AND t")
+    a = a.withColumn("strip_no", F.explode(F.sequence(F.floor(F.col("b") / strip), F.floor(F.col("t") / strip))))
+    met = w.join(a.hint("merge"), ["doc_id", "page_no", "strip_no"]).where("x <= r AND x_end >= l AND y BETWEEN b AND t")
     return met.select("doc_id", "page_no", "link", "word_no", "text").distinct()
