@@ -190,3 +190,26 @@ def test_links_meet_words_in_strips_and_are_not_broadcast(spark):
     # a row a strip: broadcast, these rows filled the driver, which counts them as one
     plan = met._jdf.queryExecution().sparkPlan().toString()
     assert "Broadcast" not in plan and plan.count("explode(") == 1
+
+
+def test_words_of_odd_rows_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from vellumine.plans import scalars
+
+    keys = [(1, 1, 1), (1, 4, 2), (1, None, 3), (1, 2, 4), (1, 3, None), (1, 4, None), (2, -3, 1), (2, -1, 2), (2, 7, 3), (3, None, 1), (3, 4, 2), (4, 4, None), (4, 4, 1), (4, 4, 2), (None, 4, 1), (None, 4, 2), (None, None, None)]
+    keys += [(5, -4, 0), (5, 4, -1), (5, 4, -2), (6, 4, 1), (6, 4, 2), (6, None, 2), (6, 1, 3), (7, None, None), (8, 4, 10), (8, 4, 9), (9, 4, 3), (9, 4, 4), (9, 4, 4), (9, 4, 5)]
+    spark.createDataFrame(keys, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect(config={"threads": 1})  # items alike may change places between the SQL's windows where threads share the work
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    rows = lambda got: sorted(map(str, map(tuple, got)))
+    assert rows(scalars.q_words(spark, str(tmp_path)).collect()) == rows(c.sql(scalars.S_WORDS).fetchall())
+
+
+def test_words_do_not_depend_on_the_order_of_items(spark):
+    from vellumine.operators import geometry as G
+
+    items = [(1, 0.0, 0.0, 10.0, 10.0, "a"), (1, 0.0, 12.0, 12.0, 10.0, "b"), (1, 0.0, 12.0, 12.0, 1.0, "b")]
+    for order in (items, items[::-1]):
+        got = G.words(spark.createDataFrame(order, "page int, y double, x double, x_end double, size double, text string").coalesce(1))
+        assert sorted(r["text"] for r in got.collect()) == ["a", "bb"]

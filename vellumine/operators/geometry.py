@@ -33,13 +33,16 @@ def in_columns(items: DataFrame, bounds: DataFrame, page: str = "page", x: str =
 
 
 def words(items: DataFrame, page: str = "page", base: str = "y", x: str = "x", end: str = "x_end", text: str = "text", within: float = 0.3, size: str = "size") -> DataFrame:
-    """(page, base, word_no, text, x, x_end): items merged where the gap is 0 to ``within`` of the size."""
-    w = Window.partitionBy(page, base).orderBy(x, end, text)
+    """(page, base, word_no, text, x, x_end): items merged where the gap is 0 to ``within`` of the size.
+
+    Items without a place come last, each a word; items of one place, end and text go by size. A word without any text has null.
+    """
+    w = Window.partitionBy(page, base).orderBy(*[F.col(c).asc_nulls_last() for c in (x, end, text, size)])
     gap = F.col(x) - F.lag(end).over(w)
     broken = F.when((gap >= 0) & (gap <= F.col(size) * within), 0).otherwise(1)
-    numbered = items.withColumn("__broken", broken).withColumn("word_no", F.sum("__broken").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct(x, end, text)))
-    return numbered.groupBy(page, base, "word_no").agg(F.array_join(F.transform(ordered, lambda s: s[text]), "").alias("text"), F.min(x).alias("x"), F.max(end).alias("x_end"))
+    numbered = items.withColumn("__broken", broken).withColumn("__at", F.row_number().over(w)).withColumn("word_no", F.sum("__broken").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(F.collect_list(F.struct("__at", text)))
+    return numbered.groupBy(page, base, "word_no").agg(F.when(F.count(text) > 0, F.array_join(F.transform(ordered, lambda s: s[text]), "")).alias("text"), F.min(x).alias("x"), F.max(end).alias("x_end"))
 
 
 def visible_layers(layers: DataFrame, on: DataFrame, off: DataFrame, base: str = "ON") -> DataFrame:

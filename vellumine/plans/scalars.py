@@ -73,7 +73,7 @@ SELECT i.page, (1 + coalesce(len(list_filter(c.cuts, lambda v: v <= i.x)), 0))::
 
 def q_words(spark, d):
     """Pieces of lines (line numbers as places) merged into words where the gap allows it."""
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.lit(0.0).alias("y"), (F.col("l_linenumber") * 10.0).alias("x"), (F.col("l_linenumber") * 10.0 + 6 + F.pmod("l_partkey", F.lit(5))).alias("x_end"), F.lit(10.0).alias("size"), F.col("l_linenumber").cast("string").alias("text"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.lit(0.0).alias("y"), (F.col("l_linenumber") * 10.0).alias("x"), (F.col("l_linenumber") * 10.0 + 6 + F.col("l_partkey") % 5).alias("x_end"), F.lit(10.0).alias("size"), F.col("l_linenumber").cast("string").alias("text"))
     return G.words(li).select("page", F.col("word_no").cast("long").alias("word_no"), "text", "x", "x_end")
 
 
